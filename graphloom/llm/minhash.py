@@ -2,10 +2,10 @@
 
 1. Every text becomes its set of word shingles (64-bit hashes) and a MinHash signature.
    Texts with equal sets are one class from here on, so copies cost one row each.
-2. Band keys of the signatures give candidate pairs: each class of a bucket against the
-   bucket's smallest class, then, in a second round, only those pairs of a bucket that the
-   links found so far do not already connect. No round emits the pairs inside a group that
-   is known to be connected.
+2. Band keys of the signatures give candidates: first each class of a bucket against the
+   bucket's smallest class. Buckets that this leaves in several components form groups, in
+   which the documents outside the largest component search the whole group, block against
+   block inside a task: no pair becomes a row before it is verified.
 3. Candidates compare their signatures batch by batch. After each batch the posterior
    probability (Jeffreys-free uniform prior) that the similarity reaches the threshold is
    compared with ``miss``; a pair below it is pruned. Survivors are verified on full sets.
@@ -136,7 +136,70 @@ def _verifier(width: int, num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 85, den: int = 100, bands: int = 20, rows: int = 4, batch: int = 16, miss: float = 1e-6) -> DataFrame:
+def _blocks_compared(member_of, sigs, docs, rule, width, num, den, block):
+    """Links between documents of different components of a group.
+
+    The group's largest component is searched by all others: blocks of the documents outside
+    it against blocks of all, never more than two blocks in a task.
+    """
+    sizes = member_of.groupBy("group", "comp").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("group").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all_n"), F.max("n").alias("main_n"))
+    rows = member_of.join(sizes, "group").withColumn("na", F.ceil((F.col("all_n") - F.col("main_n")) / block).cast("int")).withColumn("nb", F.ceil(F.col("all_n") / block).cast("int")).where("na > 0")
+    rows = rows.join(sigs, "doc_id").join(docs, "doc_id")
+    at = F.xxhash64("doc_id")
+    right = rows.withColumn("bb", F.pmod(at, F.col("nb"))).withColumn("ba", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("left", F.lit(False))
+    left = rows.where("comp <> main").withColumn("ba", F.pmod(at, F.col("na"))).withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("left", F.lit(True))
+    cols = ["group", F.col("ba").cast("long").alias("ba"), F.col("bb").cast("long").alias("bb"), "left", "doc_id", "comp", "sig", "text"]
+    return left.select(*cols).unionByName(right.select(*cols)).groupBy("group", "ba", "bb").applyInArrow(_block_comparer(rule, width, num, den), "a long, b long")
+
+
+def _block_comparer(rule, width, num, den):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side = table["left"].to_numpy()
+        sig = np.frombuffer(K.packed(table["sig"])[0].tobytes(), np.uint16).reshape(len(table), -1)
+        ids, comp = table["doc_id"].to_numpy(), table["comp"].to_numpy()
+        data, off = K.packed(table["text"])
+        a, b = np.flatnonzero(side), np.flatnonzero(~side)
+        sets: dict[int, np.ndarray] = {}
+        parent: dict[int, int] = {}
+
+        def set_of(i):
+            if i not in sets:
+                sets[i] = shingle_sets(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]), width)[0]
+            return sets[i]
+
+        def root(x):
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
+        found = []
+        for i in a:
+            alive, hits, at = b[(comp[b] != comp[i])], None, 0
+            hits = np.zeros(len(alive), np.int64)
+            for n, least in rule:
+                hits += (sig[alive, at:n] == sig[i, at:n]).sum(1)
+                ok = hits >= least
+                alive, hits, at = alive[ok], hits[ok], n
+            for j in alive[np.argsort(-hits, kind="stable")]:
+                ri, rj = root(comp[i]), root(comp[j])
+                if ri == rj:
+                    continue
+                x, y = set_of(i), set_of(j)
+                if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both and den * both >= num * (len(x) + len(y) - both):
+                    found.append((ids[i], ids[j]))
+                    parent[rj] = ri
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 85, den: int = 100, bands: int = 20, rows: int = 4, batch: int = 16, miss: float = 1e-6, block: int = 512) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
     Two texts are linked when den * |common shingles| >= num * |all shingles|. Words are runs
@@ -158,25 +221,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = buckets.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top")
     shared = materialize(buckets.join(hubs.select("band", "key", "hub"), ["band", "key"]), "buckets")
     sigs = reps.select("doc_id", "sig")
-    rule = _pruner(least_matches(bands * rows, batch, num / den, miss))
+    rule = least_matches(bands * rows, batch, num / den, miss)
+    docs = materialize(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(sigs.toDF("a", "x"), "a").join(sigs.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        left = materialize(pairs.mapInArrow(rule, "a long, b long").distinct(), "candidates")
-        ends = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = docs.join(ends, "doc_id", "left_semi").select("doc_id", "text")
-        full = left.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        left = materialize(pairs.mapInArrow(_pruner(rule), "a long, b long").distinct(), "candidates")
+        full = left.join(docs.toDF("a", "x"), "a").join(docs.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return materialize(full.mapInArrow(_verifier(width, num, den), "a long, b long").distinct(), "links")
 
     links = verified(shared.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
     comp = materialize(connected_components(links, "a", "b"), "components").toDF("doc_id", "comp")
-    # pairs of a bucket that are not connected yet and were not compared: the hub's own pairs were
+    # what the buckets still hold apart: documents not connected to their hub, and all they could be linked with
     open_ = shared.join(comp, "doc_id", "left").select("band", "key", "hub", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    many = open_.where("doc_id <> hub").groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
-    open_ = materialize(open_.where("doc_id <> hub").join(many, ["band", "key"], "left_semi"), "open")
-    other = open_.select("band", "key", F.col("doc_id").alias("b"), F.col("comp").alias("comp_b"))
-    more = open_.withColumnRenamed("doc_id", "a").join(other, ["band", "key"]).where("a < b and comp <> comp_b").select("a", "b").distinct()
-    links2 = verified(more)
+    many = open_.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("band", "key")
+    open_ = materialize(open_.join(many, ["band", "key"], "left_semi").select("hub", "doc_id", "comp").distinct(), "open")
+    group = connected_components(open_, "hub", "doc_id").toDF("doc_id", "group")
+    member_of = materialize(open_.select("doc_id", "comp").distinct().join(group, "doc_id"), "groups")
+    links2 = materialize(_blocks_compared(member_of, sigs, docs, rule, width, num, den, block), "links")
     final = connected_components(comp.toDF("a", "b").unionByName(links2), "a", "b").toDF("rep", "component_id")
     of = member.join(final, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "rep")).alias("component_id"))
     return (
