@@ -49,7 +49,7 @@ def _chunker(most: int):
     return run
 
 
-def write_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4 << 20) -> DataFrame:
+def write_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2 << 20) -> DataFrame:
     """All rows of ``docs`` as chunks of about ``most`` bytes; a longer text is a chunk of its own."""
     docs = drop_columns_clash(docs, {id_col: "long", text_col: "string"})
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
