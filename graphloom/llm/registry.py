@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import minhash, substring, token_counts
+from graphloom.llm import minhash, mixture, quality, spotsigs, substring, token_counts
 
 
 def queries() -> dict:
     return {
+        "op2_spotsigs_fingerprints": spotsigs.op2,
+        "op3_mix_sources": mixture.op3,
+        "op4_quality_classifier": quality.op4,
         "op7_minhash_near_dedup": minhash.op7,
         "op8_substring_dedup": substring.op8,
         "op10_token_counts": token_counts.op10,
@@ -14,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_minhash_near_dedup": minhash.OP7_SQL, "op8_substring_dedup": substring.OP8_SQL}
+    return {"op3_mix_sources": mixture.OP3_SQL, "op7_minhash_near_dedup": minhash.OP7_SQL, "op8_substring_dedup": substring.OP8_SQL}
