@@ -110,6 +110,21 @@ def dedup_lines(docs: DataFrame, least: int = 20, edits: int = 1, id_col: str =
     return out.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
 
 
+def without_repeated_lines(docs: DataFrame, least: int = 20, edits: int = 1) -> DataFrame:
+    """The rows of ``docs`` with all columns, ``text`` without its repeated lines and ``n_chars`` to match.
+
+    A row that lost lines and has no text but white space left goes.
+    """
+    gone = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least, edits)
+    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_th", F.xxhash64("text"))
+    out = keyed.join(gone.toDF("_doc", "_th", "_gone"), ["_doc", "_th"], "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    return out.where(F.col("_gone").isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
+
+
 OP5_SQL = """
 with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) no, unnest(string_split(text, chr(10))) line from documents),
 k as (select * from l where length(line) >= 20),

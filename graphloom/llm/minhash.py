@@ -248,6 +248,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` whose id stands for its component, with all columns; rows without id stay."""
+    kept = near_duplicates(docs.select("doc_id", "text"), **how).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"] == F.col("_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from graphloom.llm import kernel as K
 from graphloom.sources.scratch import drop_columns_clash
@@ -145,19 +145,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 18
     return w, bias
 
 
-def _scorer(model, bits, cut):
+def _scorer(model, bits, cut, text_at, names):
     def run(batches):
         w, bias = model.value
         for batch in batches:
-            data, off = K.packed(batch.column(1))
+            data, off = K.packed(batch.column(text_at))
             for i, j in K.slices(off):
                 s = scores(data[off[i] : off[j]], off[i : j + 1] - off[i], w, bias, bits)
-                cols = [batch.column(c).slice(i, j - i) for c in range(batch.num_columns) if c != 1]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(s), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(s), pa.array((s >= cut).astype(np.int32))], names=names)
 
     return run
 
 
+def _scored(docs: DataFrame, text: str, model, cut: float, bits: int) -> DataFrame:
+    """All columns of ``docs`` with ``score`` and ``predicted``."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return docs.mapInArrow(_scorer(model, bits, cut, docs.columns.index(text), schema.names), schema)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, cut: float = 0.7, bits: int = 18, text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that score ``cut`` or more, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, bits=bits, **how))
+    names = docs.columns
+    flat = docs.toDF(*[f"_d{i}" for i in range(len(names))])
+    return _scored(flat, f"_d{names.index(text_col)}", model, cut, bits).where("predicted = 1").select(*flat.columns).toDF(*names)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, cut: float = 0.7, bits: int = 18, fold: int = 4, out_fold: int = 2, **how) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row; a null text scores as an empty one.
 
@@ -166,7 +179,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, cut: float = 0.7, bits:
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, bits=bits, fold=fold, out_fold=out_fold, **how))
     docs = drop_columns_clash(docs, {"doc_id": "long", "text": "string"})
     rows = docs.select("doc_id", "text", F.coalesce(remainder("doc_id", fold) == out_fold, F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(_scorer(model, bits, cut), "doc_id long, held_out boolean, score double, predicted int")
+    return _scored(rows, "text", model, cut, bits).select("doc_id", "held_out", "score", "predicted")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import minhash, mixture, quality, spotsigs, substring, token_counts
+from graphloom.llm import line_dedup, minhash, mixture, pieces, quality, spotsigs, substring, token_counts
 
 
 def queries() -> dict:
@@ -10,11 +10,13 @@ def queries() -> dict:
         "op2_spotsigs_fingerprints": spotsigs.op2,
         "op3_mix_sources": mixture.op3,
         "op4_quality_classifier": quality.op4,
+        "op5_line_dedup": line_dedup.op5,
         "op7_minhash_near_dedup": minhash.op7,
         "op8_substring_dedup": substring.op8,
+        "op9_sentencepiece": pieces.op9,
         "op10_token_counts": token_counts.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixture.OP3_SQL, "op7_minhash_near_dedup": minhash.OP7_SQL, "op8_substring_dedup": substring.OP8_SQL}
+    return {"op3_mix_sources": mixture.OP3_SQL, "op5_line_dedup": line_dedup.OP5_SQL, "op7_minhash_near_dedup": minhash.OP7_SQL, "op8_substring_dedup": substring.OP8_SQL}
