@@ -19,6 +19,7 @@ The model has a fixed size, whatever the corpus.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -173,8 +174,22 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"k": table["k"][:1], "p": table["p"][:1], "n": pa.array([sum(table["n"].to_pylist())]), "v": pa.array([sum(table["v"].to_pylist())]), "part": pa.array([zlib.compress(total.astype(np.float32).tobytes(), 1)], pa.binary())})
 
 
+#: Counts travel as one byte each, eight steps to a doubling; small ones come back exactly.
+LEVELS = np.rint(np.exp2(np.arange(256) / 8) - 1).astype(np.float32)
+
+
+def packed_counts(counts: list[np.ndarray]) -> bytes:
+    return zlib.compress(b"".join(np.minimum(np.rint(8 * np.log2(c + 1)), 255).astype(np.uint8).tobytes() for c in counts), 1)
+
+
+@lru_cache(1)
+def unpacked_counts(raw: bytes) -> list[np.ndarray]:
+    flat = np.frombuffer(zlib.decompress(raw), np.uint8)
+    return np.split(flat, np.cumsum([2 << s for s in SLOTS])[:-1])
+
+
 class Mixer:
-    """``counts``: for each predictor the counts of 0 and 1 of all its slots, one after the other."""
+    """``counts``: for each predictor the levels of the counts of 0 and 1 of all its slots, one after the other."""
 
     def __init__(self, counts: list[np.ndarray], w: np.ndarray | None = None, apm: np.ndarray | None = None):
         self.counts = counts
@@ -185,7 +200,7 @@ class Mixer:
         """Stretched probabilities by predictor, and the gate; ``bit``: without this occurrence."""
         xs, level = [], np.zeros(len(slots[0]), np.int64)
         for k in range(P):
-            zero, one = self.counts[k][slots[k] * 2], self.counts[k][slots[k] * 2 + 1]
+            zero, one = LEVELS[self.counts[k][slots[k] * 2]], LEVELS[self.counts[k][slots[k] * 2 + 1]]
             if bit is not None:
                 own = np.float32(1) if k != WHOLE else (weight > 1).astype(np.float32)
                 zero, one = np.maximum(zero - (1 - bit) * own, 0), np.maximum(one - bit * own, 0)
@@ -251,7 +266,7 @@ def _learner(counts):
     def run(table: pa.Table) -> pa.Table:
         data, starts, ends, count, _ = distinct(table["counts"].to_pylist(), table["words"].to_pylist())
         some = count > 0
-        m = Mixer(counts.value)
+        m = Mixer(unpacked_counts(counts.value))
         seen = m.learn(data, starts[some], ends[some], count[some]) if some.any() else 0.0
         apm = m.apm if m.apm is not None else np.zeros((2, GATES, BINS))
         return pa.table({"seen": pa.array([seen]), "w": pa.array([m.w.ravel().tolist()]), "apm": pa.array([apm.ravel().tolist()])})
@@ -262,7 +277,7 @@ def _learner(counts):
 def _coster(counts, learned):
     def run(table: pa.Table) -> pa.Table:
         data, starts, ends, count, inverse = distinct(table["counts"].to_pylist(), table["words"].to_pylist())
-        cost = Mixer(counts.value, *learned).costs(data, starts, ends).astype(np.float32)
+        cost = Mixer(unpacked_counts(counts.value), *learned).costs(data, starts, ends).astype(np.float32)
         at, out = 0, []
         for x in table["counts"].to_pylist():
             n = len(zlib.decompress(x)) // 4
@@ -316,7 +331,7 @@ def score_texts(docs: DataFrame, fold: int = 7, out_fold: int = 2, id_col: str =
         step = (2 << SLOTS[r["k"]]) // PARTS
         counts[r["k"]][r["p"] * step : (r["p"] + 1) * step] = np.frombuffer(zlib.decompress(r["part"]), np.float32)
     n, v = sum(r["n"] for r in parts), sum(r["v"] for r in parts)
-    sent = spark.sparkContext.broadcast(counts)
+    sent = spark.sparkContext.broadcast(packed_counts(counts))  # 23 MB at most
     learned = blobs.groupBy("bucket").applyInArrow(_learner(sent), "seen double, w array<double>, apm array<double>")
     # one row a task's buckets come to: sums of weights by bits seen
     flat = learned.select(F.posexplode(F.concat("w", "apm")).alias("at", "x"), "seen").groupBy("at").agg(F.sum(F.when(F.col("at") < GATES * P, F.col("x") * F.col("seen")).otherwise(F.col("x"))).alias("x"), F.sum("seen").alias("seen"))
