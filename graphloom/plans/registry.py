@@ -1,9 +1,12 @@
 """Queries of the graph operators and their SQL."""
 
+from graphloom.plans.queries import QUERIES
+from graphloom.plans.sql import SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
