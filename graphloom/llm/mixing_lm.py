@@ -274,6 +274,24 @@ def _learner(counts):
     return run
 
 
+LEARNED = "seen double, w array<double>, apm array<double>"
+
+
+def _weighted(first: bool):
+    """One row a task: bits seen, weights times bits, and the last table's counts, summed."""
+
+    def run(batches):
+        seen, w, apm = 0.0, np.zeros(GATES * P), np.zeros(2 * GATES * BINS)
+        for batch in batches:
+            for s, x, y in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                seen += s
+                w += np.array(x) * (s if first else 1.0)
+                apm += np.array(y)
+        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([w.tolist()]), pa.array([apm.tolist()])], names=["seen", "w", "apm"])
+
+    return run
+
+
 def _coster(counts, learned):
     def run(table: pa.Table) -> pa.Table:
         data, starts, ends, count, inverse = distinct(table["counts"].to_pylist(), table["words"].to_pylist())
@@ -332,12 +350,13 @@ def score_texts(docs: DataFrame, fold: int = 7, out_fold: int = 2, id_col: str =
         counts[r["k"]][r["p"] * step : (r["p"] + 1) * step] = np.frombuffer(zlib.decompress(r["part"]), np.float32)
     n, v = sum(r["n"] for r in parts), sum(r["v"] for r in parts)
     sent = spark.sparkContext.broadcast(packed_counts(counts))  # 23 MB at most
-    learned = blobs.groupBy("bucket").applyInArrow(_learner(sent), "seen double, w array<double>, apm array<double>")
-    # one row a task's buckets come to: sums of weights by bits seen
-    flat = learned.select(F.posexplode(F.concat("w", "apm")).alias("at", "x"), "seen").groupBy("at").agg(F.sum(F.when(F.col("at") < GATES * P, F.col("x") * F.col("seen")).otherwise(F.col("x"))).alias("x"), F.sum("seen").alias("seen"))
-    got = {r["at"]: (r["x"], r["seen"]) for r in flat.collect()}
-    w = np.array([got[i][0] / got[i][1] if i in got and got[i][1] else 0.3 for i in range(GATES * P)]).reshape(GATES, P)
-    apm = np.array([got[GATES * P + i][0] if got else 0.0 for i in range(2 * GATES * BINS)]).reshape(2, GATES, BINS)
+    learned = blobs.groupBy("bucket").applyInArrow(_learner(sent), LEARNED)
+    # sums weighted by bits seen, first where the buckets were, then in a few tasks
+    few_sums = learned.mapInArrow(_weighted(True), LEARNED).repartition(min(16, n_tasks)).mapInArrow(_weighted(False), LEARNED).collect()
+    seen = sum(r["seen"] for r in few_sums)
+    w = sum((np.array(r["w"]) for r in few_sums), np.zeros(GATES * P)).reshape(GATES, P)
+    w = w / seen if seen else np.full((GATES, P), 0.3)
+    apm = sum((np.array(r["apm"]) for r in few_sums), np.zeros(2 * GATES * BINS)).reshape(2, GATES, BINS)
     answers = blobs.groupBy("bucket").applyInArrow(_coster(sent, (w, apm)), "chunk long, bucket int, counts binary, costs binary")
     answers = materialize(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts", "costs")).alias("answers")), "costs")
     return table.join(answers, "chunk", "left").mapInArrow(_finisher(bits, fold, out_fold, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
