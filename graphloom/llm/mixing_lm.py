@@ -129,7 +129,7 @@ def bit_slots(ctx, byte, b):
     return [((c + node) * U(0x9E3779B97F4A7C15) >> U(64 - s)).astype(np.int64) for c, s in zip(ctx, SLOTS)], (byte >> (7 - b)) & 1
 
 
-def batches_of(starts, ends, most: int = 400_000):
+def batches_of(starts, ends, most: int = 100_000):
     """Ranges of tokens of about ``most`` bytes."""
     size = np.concatenate([[0], np.cumsum(ends - starts + 1)])
     i = 0
@@ -312,6 +312,7 @@ def _finisher(bits, fold, out_fold, n, v):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
     def run(batches):
+        unpacked_counts.cache_clear()  # a worker that scored tokens before holds the model no longer
         for batch in batches:
             extra = [{x["bucket"]: (x["counts"], x["costs"]) for x in (c or [])} for c in batch.column(4).to_pylist()]
             head = pa.RecordBatch.from_arrays(batch.columns[:4], names=list(batch.schema.names[:4]))
@@ -339,7 +340,7 @@ def score_texts(docs: DataFrame, fold: int = 7, out_fold: int = 2, id_col: str =
     spark = docs.sparkSession
     bits = bucket_bits(spark)
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = write_chunks(docs, id_col, text_col, 4 << 20)
+    table = write_chunks(docs, id_col, text_col)
     blobs = materialize_bucketed(table.mapInArrow(_emitter(bits, fold, out_fold), BLOB).repartition(n_tasks, "bucket"), "tokens", "bucket", n_tasks)
     few = max(1, n_tasks // 4)
     parts = blobs.repartition(few, "bucket").mapInArrow(_counter, "k int, p int, n long, v long, part binary")
