@@ -76,6 +76,8 @@ SQL = {
     "spanning_forest_msf": _r(PS, """a as (select u s, v d, e from e union all select v, u, e from e),
 r(e,x) as (select e, u from e union select r.e, a.d from r join a on a.s=r.x and a.e<r.e),
 nt as (select e.e from e join r on r.e=e.e and r.x=e.v),""".rstrip(",") , BFS.replace("a as materialized (select u s, v d, e from e union all select v, u, e from e),\n", ""), "select e edge_id, e not in (select e from nt) is_tree, case when e in (select e from br) then -1 else 0 end as level from e"),
+    "incident_edges": _r(PS, "a as (select u s, v d, e from e union all select v, u, e from e)", "r(e,x) as (select e, u from e union select r.e, a.d from r join a on a.s=r.x and a.e<r.e)",
+        "nt as materialized (select e.e, e.u, e.v from e join r on r.e=e.e and r.x=e.v)", "select u vertex_id, e edge_id from nt union all select v, e from nt"),
     "is_bridge": _r(CP, BFS, "select e edge_id, e in (select e from br) is_bridge from e"),
     "find_bridge_vertex": _r(OP, BFS, "select cc.v vertex_id, x.b bridge from cc left join (select comp, min(br.e) b from br join e using(e) join cc on cc.v=e.u group by 1) x using(comp)"),
     "two_edge_components": _r(CP, BLOCKS, "select v vertex_id, blk block, count(*) over (partition by blk) size from bb"),
