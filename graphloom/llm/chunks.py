@@ -122,8 +122,9 @@ def _answerer(key_type, load_type, reduce: Callable):
     return run
 
 
-def answered(blobs: DataFrame, key_type, load_type, reduce: Callable, name: str) -> DataFrame:
-    """Exchange: all blobs of a bucket meet; ``reduce(keys, loads)`` gives one answer for each entry."""
+def answered(blobs: DataFrame, key_type, load_type, reduce: Callable, name: str, bucketed: bool = False) -> DataFrame:
+    """Exchange: all blobs of a bucket meet; ``reduce(keys, loads)`` gives one answer for each entry. ``bucketed`` as the chunks are, to join more than once."""
     n = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     got = blobs.repartition(n, "bucket").mapInArrow(_answerer(key_type, load_type, reduce), "chunk long, bucket int, answer binary")
-    return materialize(got.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias(name)), name)
+    got = got.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
+    return materialize_bucketed(got, name, "chunk", n) if bucketed else materialize(got, name)

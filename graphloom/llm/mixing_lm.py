@@ -8,12 +8,20 @@ the weighted evidence of all predictors; the weights are chosen by a gate (longe
 before, place in the token). A last table, by gate and coarse probability, refines the result
 towards what came out.
 
-Contexts stay inside a token, so the cost of a token depends on the token alone: counting,
+These contexts stay inside a token, so the spelled cost of a token depends on the token alone: counting,
 training and scoring run once per distinct token, weighted by its count, in tasks that each
 hold a bucket of tokens. Counts are sums over all training texts. Weights are learned online, a
 small batch of tokens after the other with the token's own occurrence left out of the counts,
 in every bucket over all its tokens; the buckets' weights are averaged by bits seen.
-The model has a fixed size, whatever the corpus.
+This part of the model has a fixed size, whatever the corpus.
+
+A last predictor looks at the token before (at a text's start, the end of another): a bit says
+whether the token is drawn from what followed there in the training texts or is spelled, and
+is summed out. Its probability is the logistic function of a weight chosen by a gate, how often
+the context was seen; the weights maximise the likelihood of all training tokens, each left out
+of its own counts. Counts of pairs are exact sums over all training texts in hash buckets, so
+they grow with the corpus; they are sent rounded down, which keeps the sum of probabilities
+at most one.
 """
 
 from __future__ import annotations
@@ -26,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.llm import kernel as K
-from graphloom.llm.chunks import bucket_bits, each_chunk, write_chunks
-from graphloom.sources.scratch import materialize, materialize_bucketed
+from graphloom.llm.chunks import BLOB as PAIRS, answered, bucket_bits, each_chunk, from_answers, to_blobs, write_chunks
+from graphloom.sources.scratch import materialize_bucketed
 
 U = K.U
 ORDERS = (1, 2, 3, 5, 0)  # 0: the whole token so far
@@ -44,6 +52,13 @@ PRIOR = 0.4
 #: The end of a text as a token: a byte that UTF-8 never has.
 END = 0xFF
 PARTS = 8
+END_HASH = K.word_hashes(np.array([END], np.uint8), np.array([0]), np.array([1]))[0]
+#: Counts of pairs as one byte: whole numbers in steps of at most an eighth of a doubling.
+STEPS = np.unique(np.rint(np.exp2(np.arange(300) / 8) - 1))[:256]
+#: Gates of the token before: doublings of how often it was seen, 0 where never.
+SEEN = 32
+#: Half doublings of how likelier the token before makes a token than its spelling; the first for never.
+GAINS = 128
 
 
 def held_out(ids, null, fold: int, out_fold: int) -> np.ndarray:
@@ -308,24 +323,100 @@ def _coster(counts, learned):
     return run
 
 
-def _finisher(bits, fold, out_fold, n, v):
+def pair_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each token with the one before it."""
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    before[first[:-1]] = END_HASH
+    return K.mix(before * U(0x9FB21C651E98DF25) + h)
+
+
+def _pair_emitter(bits, fold, out_fold):
+    def run(batches):
+        for chunk, ids, null, raw, off, _ in each_chunk(batches):
+            data, starts, ends, first = tokens(raw, off)
+            keys, inverse = np.unique(pair_keys(K.word_hashes(data, starts, ends), first), return_inverse=True)
+            train = np.repeat(~held_out(ids, null, fold, out_fold), np.diff(first))
+            yield to_blobs(chunk, keys, np.bincount(inverse, train, len(keys)).astype(np.uint32), bits, True)
+
+    return run
+
+
+def _stepped(keys: np.ndarray, load: np.ndarray) -> np.ndarray:
+    """For each entry the step at or below the sum of its key."""
+    _, inverse = np.unique(keys, return_inverse=True)
+    return (np.searchsorted(STEPS, np.bincount(inverse, load), "right") - 1).astype(np.uint8)[inverse]
+
+
+def with_answers(batches, bits):
+    """(ids, null, bytes' offsets, first tokens, for each token: count, spelled cost, count of the token before, of the pair)."""
+    for batch in batches:
+        extra = [{x["bucket"]: (x["counts"], x["costs"]) for x in (c or [])} for c in batch.column(4).to_pylist()]
+        head = pa.RecordBatch.from_arrays([*batch.columns[:4], batch.column(5)], names=[*batch.schema.names[:4], "pairs"])
+        for (_, ids, null, raw, off, more), got in zip(each_chunk([head]), extra):
+            data, starts, ends, first = tokens(raw, off)
+            h = K.word_hashes(data, starts, ends)
+            pair, at = np.unique(pair_keys(h, first), return_inverse=True)
+            follows = STEPS[from_answers(more[0], pair, bits, np.uint8)][at]
+            keys, inverse = np.unique(h, return_inverse=True)
+            order = sorted(got)
+            count = np.frombuffer(b"".join(zlib.decompress(got[b][0]) for b in order), np.uint32).astype(np.float64)[inverse]
+            cost = np.frombuffer(b"".join(got[b][1] for b in order), np.float32).astype(np.float64)[inverse]
+            before = np.empty_like(count)
+            before[1:] = count[:-1]
+            ended = np.searchsorted(keys, END_HASH)
+            before[first[:-1]] = count[np.flatnonzero(inverse == ended)[:1]]
+            yield ids, null, off, first, count, cost, before, follows
+
+
+def seen_gate(before: np.ndarray) -> np.ndarray:
+    return np.minimum(np.floor(np.log2(np.maximum(before, 0.5))).astype(np.int64) + 1, SEEN - 1)
+
+
+def _gainer(bits, fold, out_fold):
+    """How many training tokens fall in each gate and gain, each left out of its counts."""
+
+    def run(batches):
+        unpacked_counts.cache_clear()
+        sums = np.zeros(SEEN * GAINS)
+        for ids, null, _, first, _, cost, before, follows in with_answers(batches, bits):
+            train = np.repeat(~held_out(ids, null, fold, out_fold), np.diff(first))
+            before, follows, cost = before[train] - 1, follows[train] - 1, cost[train]
+            gain = np.log2(np.maximum(follows, 0.5) / np.maximum(before, 1)) + cost
+            gain = np.where(follows > 0, np.clip(np.rint(2 * gain) + 32, 1, GAINS - 1), 0).astype(np.int64)
+            sums += np.bincount(seen_gate(before) * GAINS + gain, minlength=SEEN * GAINS)
+        full = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(sums[full].astype(np.int64))], names=["cell", "n"])
+
+    return run
+
+
+def trusted(cells: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """For each gate the probability that the token before gives the token; 0 where nothing was seen."""
+    rho = np.exp2((np.arange(GAINS) - 32) / 2)
+    rho[0] = 0
+    n = cells.reshape(SEEN, GAINS)
+    total = n.sum(1, keepdims=True)
+    g = np.full((SEEN, 1), 0.5)
+    for _ in range(rounds):
+        g = (n * (g * rho / (1 - g + g * rho))).sum(1, keepdims=True) / np.maximum(total, 1)
+        g = np.clip(g, 1e-4, 1 - 1e-4)
+    g[0] = 0
+    return np.where(total > 0, g, 0)[:, 0]
+
+
+def _finisher(bits, fold, out_fold, n, v, trust):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
     def run(batches):
         unpacked_counts.cache_clear()  # a worker that scored tokens before holds the model no longer
-        for batch in batches:
-            extra = [{x["bucket"]: (x["counts"], x["costs"]) for x in (c or [])} for c in batch.column(4).to_pylist()]
-            head = pa.RecordBatch.from_arrays(batch.columns[:4], names=list(batch.schema.names[:4]))
-            for (_, ids, null, raw, off, _), got in zip(each_chunk([head]), extra):
-                data, starts, ends, first = tokens(raw, off)
-                keys, inverse = np.unique(K.word_hashes(data, starts, ends), return_inverse=True)
-                order = sorted(got)
-                count = np.frombuffer(b"".join(zlib.decompress(got[b][0]) for b in order), np.uint32).astype(np.float64)
-                cost = np.frombuffer(b"".join(got[b][1] for b in order), np.float32).astype(np.float64)
-                sums = [np.concatenate([[0], np.cumsum(x[inverse])]) for x in (np.log10((count + 1) / (n + v + 1)), -cost * np.log10(2), (count > 0).astype(np.int64), cost)]
-                base, score, known, total = (s[first[1:]] - s[first[:-1]] for s in sums)
-                size = np.maximum(np.diff(off), 1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(held_out(ids, null, fold, out_fold)), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(ids), n, np.int64)), pa.array(base), pa.array(score), pa.array(total / size)], names=names)
+        for ids, null, off, first, count, cost, before, follows in with_answers(batches, bits):
+            g = trust[seen_gate(before)]
+            cost = -np.log2((1 - g) * np.exp2(-np.minimum(cost, 1000)) + g * np.minimum(follows / np.maximum(before, 1), 1)) + np.maximum(cost - 1000, 0) * (follows == 0)
+            sums = [np.concatenate([[0], np.cumsum(x)]) for x in (np.log10((count + 1) / (n + v + 1)), -cost * np.log10(2), (count > 0).astype(np.int64), cost)]
+            base, score, known, total = (s[first[1:]] - s[first[:-1]] for s in sums)
+            size = np.maximum(np.diff(off), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(held_out(ids, null, fold, out_fold)), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(ids), n, np.int64)), pa.array(base), pa.array(score), pa.array(total / size)], names=names)
 
     return run
 
@@ -359,8 +450,13 @@ def score_texts(docs: DataFrame, fold: int = 7, out_fold: int = 2, id_col: str =
     w = w / seen if seen else np.full((GATES, P), 0.3)
     apm = sum((np.array(r["apm"]) for r in few_sums), np.zeros(2 * GATES * BINS)).reshape(2, GATES, BINS)
     answers = blobs.groupBy("bucket").applyInArrow(_coster(sent, (w, apm)), "chunk long, bucket int, counts binary, costs binary")
-    answers = materialize(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts", "costs")).alias("answers")), "costs")
-    return table.join(answers, "chunk", "left").mapInArrow(_finisher(bits, fold, out_fold, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    answers = materialize_bucketed(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts", "costs")).alias("answers")), "costs", "chunk", n_tasks)
+    pairs = answered(table.mapInArrow(_pair_emitter(bits, fold, out_fold), PAIRS), np.uint32, np.uint32, _stepped, "pairs", bucketed=True)
+    known = table.join(answers, "chunk", "left").join(pairs, "chunk", "left")
+    cells = np.zeros(SEEN * GAINS)
+    for r in known.mapInArrow(_gainer(bits, fold, out_fold), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 4,096 rows at most
+        cells[r["cell"]] = r["n"]
+    return known.mapInArrow(_finisher(bits, fold, out_fold, n, v, trusted(cells)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
