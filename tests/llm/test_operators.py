@@ -260,6 +260,55 @@ def test_chroma(spark, nothing):
     assert search_recordings(nothing.selectExpr("doc_id", "cast(text as binary) pcm"), "doc_id", "pcm").count() == 0
 
 
+def test_votes_of_runs():
+    """Against a count over every pair of equal integers."""
+    from graphloom.llm.chroma import best_offset
+
+    def runs(x):
+        at = [i for i in range(len(x)) if i == 0 or x[i] != x[i - 1]]
+        return [(x[i], i, j - i) for i, j in zip(at, at[1:] + [len(x)])]
+
+    for _ in range(200):
+        a, b = ([rng.randrange(3) for _ in range(rng.randrange(1, 25))] for _ in "ab")
+        votes = Counter(j - i for i in range(len(a)) for j in range(len(b)) if a[i] == b[j])
+        pairs = [(i, n, j, m) for x, i, n in runs(a) for y, j, m in runs(b) if x == y]
+        if pairs:
+            assert best_offset(*np.array(pairs).T) == max(((o, v) for o, v in votes.items()), key=lambda p: (p[1], -abs(p[0]), p[0]))
+
+
+def test_pair_counts_and_their_gates(docs):
+    """Counts of pairs by brute force; probabilities over all tokens after one sum to at most one."""
+    from graphloom.llm import kernel as K, mixing_lm as M
+    import pyarrow as pa
+
+    assert np.all(np.diff(M.STEPS) > 0) and list(M.STEPS[:9]) == list(range(9)) and len(M.STEPS) == 256
+    data, off = K.packed(pa.array([r[1] for r in ROWS]))
+    text, starts, ends, first = M.tokens(data, off)
+    keys = M.pair_keys(K.word_hashes(text, starts, ends), first)
+    want = Counter(p for r in ROWS for w in [[None, *tokens(lower(r[1])), None]] for p in zip(w, w[1:]))
+    assert sorted(Counter(keys.tolist()).values()) == sorted(want.values())
+    load = np.arange(len(keys)) % 3
+    got = M.STEPS[M._stepped(keys, load)]
+    total = Counter()
+    for k, n in zip(keys.tolist(), load.tolist()):
+        total[k] += n
+    assert all(0 <= total[k] - g <= 0.13 * total[k] for k, g in zip(keys.tolist(), got))
+    cells = np.zeros((M.SEEN, M.GAINS))
+    cells[3, 0], cells[3, 60], cells[5, 0] = 40, 60, 10
+    g = M.trusted(cells.ravel())
+    assert g[0] == 0 and 0.55 < g[3] < 0.65 and g[5] < 0.01 and g[7] == 0
+
+
+def test_the_token_before_helps(spark):
+    """Fixed phrases in a random order: held-out texts score better than by words alone."""
+    from graphloom.llm.mixing_lm import score_texts
+
+    phrases = [prose(6) for _ in range(30)]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(12))) for i in range(250)]
+    got = [r for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
+    assert got and all(r.base_score < r.score < 0 for r in got)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
