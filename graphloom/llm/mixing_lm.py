@@ -27,6 +27,7 @@ at most one.
 from __future__ import annotations
 
 import zlib
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from graphloom.llm import kernel as K
 from graphloom.llm.chunks import BLOB as PAIRS, answered, bucket_bits, each_chunk, from_answers, to_blobs, write_chunks
-from graphloom.sources.scratch import materialize_bucketed
+from graphloom.sources.scratch import materialize, materialize_bucketed
 
 U = K.U
 ORDERS = (1, 2, 3, 5, 0)  # 0: the whole token so far
@@ -351,9 +352,9 @@ def _stepped(keys: np.ndarray, load: np.ndarray) -> np.ndarray:
 def with_answers(batches, bits):
     """(ids, null, bytes' offsets, first tokens, for each token: count, spelled cost, count of the token before, of the pair)."""
     for batch in batches:
-        extra = [{x["bucket"]: (x["counts"], x["costs"]) for x in (c or [])} for c in batch.column(4).to_pylist()]
         head = pa.RecordBatch.from_arrays([*batch.columns[:4], batch.column(5)], names=[*batch.schema.names[:4], "pairs"])
-        for (_, ids, null, raw, off, more), got in zip(each_chunk([head]), extra):
+        for row, (_, ids, null, raw, off, more) in enumerate(each_chunk([head])):
+            got = {x["bucket"]: (x["counts"], x["costs"]) for x in (batch.column(4)[row].as_py() or [])}
             data, starts, ends, first = tokens(raw, off)
             h = K.word_hashes(data, starts, ends)
             pair, at = np.unique(pair_keys(h, first), return_inverse=True)
@@ -421,6 +422,18 @@ def _finisher(bits, fold, out_fold, n, v, trust):
     return run
 
 
+@contextmanager
+def few_rows_a_batch(spark, most: int = 2):
+    """Rows are chunks of MBs: batches of the usual 10,000 would hold whole partitions."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def score_texts(docs: DataFrame, fold: int = 7, out_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for every row.
 
@@ -454,9 +467,10 @@ def score_texts(docs: DataFrame, fold: int = 7, out_fold: int = 2, id_col: str =
     pairs = answered(table.mapInArrow(_pair_emitter(bits, fold, out_fold), PAIRS), np.uint32, np.uint32, _stepped, "pairs", bucketed=True)
     known = table.join(answers, "chunk", "left").join(pairs, "chunk", "left")
     cells = np.zeros(SEEN * GAINS)
-    for r in known.mapInArrow(_gainer(bits, fold, out_fold), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 4,096 rows at most
-        cells[r["cell"]] = r["n"]
-    return known.mapInArrow(_finisher(bits, fold, out_fold, n, v, trusted(cells)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    with few_rows_a_batch(spark):
+        for r in known.mapInArrow(_gainer(bits, fold, out_fold), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 4,096 rows at most
+            cells[r["cell"]] = r["n"]
+        return materialize(known.mapInArrow(_finisher(bits, fold, out_fold, n, v, trusted(cells)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"), "scores")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
