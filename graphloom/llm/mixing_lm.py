@@ -26,6 +26,7 @@ at most one.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from contextlib import contextmanager
 from functools import lru_cache
@@ -334,6 +335,7 @@ def pair_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _pair_emitter(bits, fold, out_fold):
     def run(batches):
+        give_back()
         for chunk, ids, null, raw, off, _ in each_chunk(batches):
             data, starts, ends, first = tokens(raw, off)
             keys, inverse = np.unique(pair_keys(K.word_hashes(data, starts, ends), first), return_inverse=True)
@@ -374,11 +376,21 @@ def seen_gate(before: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log2(np.maximum(before, 0.5))).astype(np.int64) + 1, SEEN - 1)
 
 
+def give_back() -> None:
+    """A worker that counted or scored tokens before holds the model and freed batches no longer."""
+    unpacked_counts.cache_clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def _gainer(bits, fold, out_fold):
     """How many training tokens fall in each gate and gain, each left out of its counts."""
 
     def run(batches):
-        unpacked_counts.cache_clear()
+        give_back()
         sums = np.zeros(SEEN * GAINS)
         for ids, null, _, first, _, cost, before, follows in with_answers(batches, bits):
             train = np.repeat(~held_out(ids, null, fold, out_fold), np.diff(first))
@@ -410,7 +422,7 @@ def _finisher(bits, fold, out_fold, n, v, trust):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
     def run(batches):
-        unpacked_counts.cache_clear()  # a worker that scored tokens before holds the model no longer
+        give_back()
         for ids, null, off, first, count, cost, before, follows in with_answers(batches, bits):
             g = trust[seen_gate(before)]
             cost = -np.log2((1 - g) * np.exp2(-np.minimum(cost, 1000)) + g * np.minimum(follows / np.maximum(before, 1), 1)) + np.maximum(cost - 1000, 0) * (follows == 0)
@@ -445,7 +457,8 @@ def score_texts(docs: DataFrame, fold: int = 7, out_fold: int = 2, id_col: str =
     bits = bucket_bits(spark)
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = write_chunks(docs, id_col, text_col)
-    blobs = materialize_bucketed(table.mapInArrow(_emitter(bits, fold, out_fold), BLOB).repartition(n_tasks, "bucket"), "tokens", "bucket", n_tasks)
+    with few_rows_a_batch(spark):
+        blobs = materialize_bucketed(table.mapInArrow(_emitter(bits, fold, out_fold), BLOB).repartition(n_tasks, "bucket"), "tokens", "bucket", n_tasks)
     few = max(1, n_tasks // 4)
     parts = blobs.repartition(few, "bucket").mapInArrow(_counter, "k int, p int, n long, v long, part binary")
     parts = parts.groupBy("k", "p").applyInArrow(_summed, "k int, p int, n long, v long, part binary").collect()
@@ -464,7 +477,8 @@ def score_texts(docs: DataFrame, fold: int = 7, out_fold: int = 2, id_col: str =
     apm = sum((np.array(r["apm"]) for r in few_sums), np.zeros(2 * GATES * BINS)).reshape(2, GATES, BINS)
     answers = blobs.groupBy("bucket").applyInArrow(_coster(sent, (w, apm)), "chunk long, bucket int, counts binary, costs binary")
     answers = materialize_bucketed(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts", "costs")).alias("answers")), "costs", "chunk", n_tasks)
-    pairs = answered(table.mapInArrow(_pair_emitter(bits, fold, out_fold), PAIRS), np.uint32, np.uint32, _stepped, "pairs", bucketed=True)
+    with few_rows_a_batch(spark):
+        pairs = answered(table.mapInArrow(_pair_emitter(bits, fold, out_fold), PAIRS), np.uint32, np.uint32, _stepped, "pairs", bucketed=True)
     known = table.join(answers, "chunk", "left").join(pairs, "chunk", "left")
     cells = np.zeros(SEEN * GAINS)
     with few_rows_a_batch(spark):
