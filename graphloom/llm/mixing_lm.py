@@ -136,14 +136,18 @@ def coded(data, starts, ends):
                 h = h * U(257) + back[k]
         else:
             h = K.word_hashes(byte, first[token], first[token] + place) + U(77)
-        ctx.append(K.mix(h))
+        ctx.append(K.mix(h) * SPREAD)
     return token, byte, place, ctx
 
 
+SPREAD = U(0x9E3779B97F4A7C15)
+#: Hashes of the places in a byte's tree of bits, spread as the contexts are.
+NODES = K.mix(np.arange(256, dtype=U) + U(1)) * SPREAD
+
+
 def bit_slots(ctx, byte, b):
-    node = (np.uint32(1) << np.uint32(b)) | (byte.astype(np.uint32) >> np.uint32(8 - b))
-    node = K.mix(node.astype(U) + U(1))
-    return [((c + node) * U(0x9E3779B97F4A7C15) >> U(64 - s)).astype(np.int64) for c, s in zip(ctx, SLOTS)], (byte >> (7 - b)) & 1
+    node = NODES.take((1 << b) | (byte.astype(np.int64) >> (8 - b)))
+    return [((c + node) >> U(64 - s)).view(np.int64) for c, s in zip(ctx, SLOTS)], (byte >> (7 - b)) & 1
 
 
 def batches_of(starts, ends, most: int = 100_000):
@@ -205,35 +209,43 @@ def unpacked_counts(raw: bytes) -> list[np.ndarray]:
     return np.split(flat, np.cumsum([2 << s for s in SLOTS])[:-1])
 
 
+def _by_levels() -> tuple[np.ndarray, np.ndarray]:
+    """Evidence, and how often the context was seen (0 for never), by two levels as one number after none, a 0 or a 1 is taken away."""
+    zero, one = np.tile(LEVELS, 256), np.repeat(LEVELS, 256)
+    less = [(zero, one), (np.maximum(zero - 1, 0), one), (zero, np.maximum(one - 1, 0))]
+    zero, one = (np.concatenate(x) for x in zip(*less))
+    return np.log((one + np.float32(PRIOR)) / (zero + np.float32(PRIOR))), np.searchsorted(CONFIDENCE, zero + one, "right")
+
+
+EVIDENCE, SURE = _by_levels()
+
+
 class Mixer:
     """``counts``: for each predictor the levels of the counts of 0 and 1 of all its slots, one after the other."""
 
     def __init__(self, counts: list[np.ndarray], w: np.ndarray | None = None, apm: np.ndarray | None = None):
-        self.counts = counts
+        self.counts = [c.view("<u2") for c in counts]
         self.w = np.full((GATES, P), 0.3) if w is None else w
         self.apm = apm
 
     def evidence(self, slots, place, bit=None, weight=None):
         """Stretched probabilities by predictor, and the gate; ``bit``: without this occurrence."""
         xs, level = [], np.zeros(len(slots[0]), np.int64)
+        own = None if bit is None else (bit.astype(np.int64) + 1) << 16
         for k in range(P):
-            zero, one = LEVELS[self.counts[k][slots[k] * 2]], LEVELS[self.counts[k][slots[k] * 2 + 1]]
+            at = self.counts[k].take(slots[k]).astype(np.int64)
             if bit is not None:
-                own = np.float32(1) if k != WHOLE else (weight > 1).astype(np.float32)
-                zero, one = np.maximum(zero - (1 - bit) * own, 0), np.maximum(one - bit * own, 0)
-            total = zero + one
-            xs.append(np.log((one + np.float32(PRIOR)) / (zero + np.float32(PRIOR))))
-            if k == WHOLE:
-                sure = np.searchsorted(CONFIDENCE, total, "right")
-                level = np.where(sure > 0, P - 1 + sure, level)
-            else:
-                level = np.where(total > 0, k + 1, level)
+                at += own if k != WHOLE else np.where(weight > 1, own, 0)
+            xs.append(EVIDENCE.take(at))
+            sure = SURE.take(at)
+            level = np.where(sure > 0, P - 1 + sure if k == WHOLE else k + 1, level)
         return xs, level * PLACES + np.minimum(place, PLACES - 1)
 
     def mixed(self, xs, gate):
-        z = self.w[gate, 0] * xs[0]
+        w = np.ascontiguousarray(self.w.T)
+        z = w[0].take(gate) * xs[0]
         for k in range(1, P):
-            z += self.w[gate, k] * xs[k]
+            z += w[k].take(gate) * xs[k]
         return np.clip(z, -14, 14)
 
     def learn(self, data, starts, ends, count, rate: float = 0.05):
@@ -262,20 +274,19 @@ class Mixer:
 
     def costs(self, data, starts, ends) -> np.ndarray:
         """Bits of each token."""
-        out = np.zeros(len(starts))
+        out, (total, ones) = np.zeros(len(starts)), self.apm.reshape(2, -1)
         for i, j in batches_of(starts, ends):
             token, byte, place, ctx = coded(data, starts[i:j], ends[i:j])
-            bits = np.zeros(len(byte))
+            given = np.ones(len(byte))  # eight factors of at least 1e-7
             for b in range(8):
                 slots, bit = bit_slots(ctx, byte, b)
                 xs, gate = self.evidence(slots, place)
                 z = self.mixed(xs, gate)
                 p = 1 / (1 + np.exp(-z))
-                bins = np.clip(np.rint(z * 1.25) + BINS // 2, 0, BINS - 1).astype(np.int64)
-                all_, ones = self.apm[0][gate, bins], self.apm[1][gate, bins]
-                p = (p + (ones + p) / (all_ + 1)) / 2
-                bits -= np.log2(np.where(bit == 1, p, 1 - p))
-            out[i:j] = np.bincount(token, bits, j - i)
+                cell = gate * BINS + np.clip(np.rint(z * 1.25) + BINS // 2, 0, BINS - 1).astype(np.int64)
+                p = (p + (ones.take(cell) + p) / (total.take(cell) + 1)) / 2
+                given *= np.where(bit == 1, p, 1 - p)
+            out[i:j] = np.bincount(token, -np.log2(given), j - i)
         return out
 
 
