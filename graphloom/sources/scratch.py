@@ -42,6 +42,25 @@ def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> Da
     return spark.table(table)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans nobody holds: Spark removes them when the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a scratch table that nothing reads any more; files outside the shared folder stay."""
+    spark = table.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    Path = jvm.org.apache.hadoop.fs.Path
+    top = Path(shared_dir(spark))
+    fs = top.getFileSystem(conf)
+    top = fs.makeQualified(top).toString().rstrip("/") + "/"
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        at = fs.makeQualified(Path(folder))
+        if at.toString().startswith(top):
+            fs.delete(at, True)
+
+
 def drop_columns_clash(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """Select ``wanted`` columns by position of their first exact-name match, cast to the given types.
 

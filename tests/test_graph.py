@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -161,3 +162,18 @@ def test_entry_without_llm():
     import __spark_entry__ as E
 
     assert {"bridges", "find_size_levels"} <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_discard_deletes_scratch_tables_only(spark, tmp_path):
+    from graphloom.sources.scratch import discard, materialize, materialize_bucketed
+
+    kept = str(tmp_path / "kept")
+    spark.range(5).write.parquet(kept)
+    for table in (materialize(spark.range(5), "plain"), materialize_bucketed(spark.range(5), "bucketed", "id", 2)):
+        paths = [f.removeprefix("file:").replace("///", "/") for f in table.inputFiles()]
+        assert paths and all(os.path.exists(p) for p in paths)
+        discard(table)
+        assert not any(os.path.exists(p) for p in paths)
+    discard(materialize(spark.range(0), "empty"))
+    discard(spark.read.parquet(kept))
+    assert spark.read.parquet(kept).count() == 5
