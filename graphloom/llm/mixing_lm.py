@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from graphloom.llm import kernel as K
 from graphloom.llm.chunks import BLOB as PAIRS, answered, bucket_bits, each_chunk, from_answers, to_blobs, write_chunks
-from graphloom.sources.scratch import materialize, materialize_bucketed
+from graphloom.sources.scratch import discard, materialize, materialize_bucketed, release_shuffles
 
 U = K.U
 ORDERS = (1, 2, 3, 5, 0)  # 0: the whole token so far
@@ -488,8 +488,11 @@ def score_texts(docs: DataFrame, fold: int = 7, out_fold: int = 2, id_col: str =
     apm = sum((np.array(r["apm"]) for r in few_sums), np.zeros(2 * GATES * BINS)).reshape(2, GATES, BINS)
     answers = blobs.groupBy("bucket").applyInArrow(_coster(sent, (w, apm)), "chunk long, bucket int, counts binary, costs binary")
     answers = materialize_bucketed(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts", "costs")).alias("answers")), "costs", "chunk", n_tasks)
+    discard(blobs)
+    release_shuffles(spark)
     with few_rows_a_batch(spark):
         pairs = answered(table.mapInArrow(_pair_emitter(bits, fold, out_fold), PAIRS), np.uint32, np.uint32, _stepped, "pairs", bucketed=True)
+    release_shuffles(spark)
     known = table.join(answers, "chunk", "left").join(pairs, "chunk", "left")
     cells = np.zeros(SEEN * GAINS)
     with few_rows_a_batch(spark):
