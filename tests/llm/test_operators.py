@@ -322,3 +322,16 @@ def test_pipeline(spark, tmp_path):
         if name == "near_duplicates":
             assert {r.doc_id for r in x.collect()} == set(range(60)) | {100}
     assert corpus_pipeline.run(spark, str(tmp_path)).where("exact").count() > 20
+
+
+def test_pipeline_drops_documents_of_a_similarity_between_80_and_85(spark):
+    import corpus_pipeline
+
+    rows = []
+    for k in range(10):
+        w = [f"w{k}x{i}" for i in range(100)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join("other" if i in (30, 60) else x for i, x in enumerate(w)))]
+    a, b = shingles(rows[0][1]), shingles(rows[1][1])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85
+    got = corpus_pipeline.dedup_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == list(range(0, 20, 2))
