@@ -14,8 +14,8 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that match an earlier line; those left without any text go."""
-    return line_dedup.without_repeated_lines(docs)
+    """Documents without lines that match an earlier line, short lines by exact copies only; those left without any text go."""
+    return line_dedup.without_repeated_lines(docs, copies=1)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,15 +28,16 @@ PIECES = 16
 LAST = 2**63 - 1
 
 
-def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """``doc, th, line_no, line``: the lines of at least ``least`` characters; a null id stands after all others."""
+def lines_of(docs: DataFrame, least: int, copies: int | None = None) -> DataFrame:
+    """``doc, th, line_no, line``: the lines of at least ``least`` characters, with ``copies`` also those of as many that are not blank; a null id stands after all others."""
     cols = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return cols.where(F.char_length("line") >= least)
+    long = F.char_length("line") >= least
+    return cols.where(long if copies is None else long | ((F.char_length("line") >= copies) & F.col("line").rlike(r"\S")))
 
 
-def repeated_lines(docs: DataFrame, least: int = 20, edits: int = 1) -> DataFrame:
+def repeated_lines(docs: DataFrame, least: int = 20, edits: int = 1, copies: int | None = None) -> DataFrame:
     """``doc, th, gone``: for each document with repeated lines, the numbers of these lines."""
-    seen = lines_of(docs, least)
+    seen = lines_of(docs, least, copies)
     pos = F.struct("doc", "line_no")
     h = [F.xxhash64("line").alias("h1"), F.hash("line").alias("h2")]
     # exact copies: one row a distinct line
@@ -94,28 +95,29 @@ def _near(docs: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
     return checked.select("h1", "h2").distinct()
 
 
-def dedup_lines(docs: DataFrame, least: int = 20, edits: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 20, edits: int = 1, id_col: str = "doc_id", text_col: str = "text", copies: int | None = None) -> DataFrame:
     """``doc_id, text, n_lines, n_removed`` for every row, ``text`` without its repeated lines.
 
-    Lines are parts between line feeds. Lines shorter than ``least`` characters take no part.
+    Lines are parts between line feeds. Lines shorter than ``least`` characters take no part,
+    but with ``copies`` exact copies of lines that are not blank go from so many characters on.
     ``edits`` is 0 (copies only) or 1. Rows with equal ids and texts are one document, so they
     remove nothing from each other; a row without an id stands after all others. A null text
     stays null and has no lines.
     """
     docs = drop_columns_clash(docs, {id_col: "long", text_col: "string"}).toDF("doc_id", "text")
-    gone = repeated_lines(docs, least, edits)
+    gone = repeated_lines(docs, least, edits, copies)
     keyed = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("th", F.xxhash64("text"))
     out = keyed.join(gone, ["doc", "th"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     return out.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
 
 
-def without_repeated_lines(docs: DataFrame, least: int = 20, edits: int = 1) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least: int = 20, edits: int = 1, copies: int | None = None) -> DataFrame:
     """The rows of ``docs`` with all columns, ``text`` without its repeated lines and ``n_chars`` to match.
 
     A row that lost lines and has no text but white space left goes.
     """
-    gone = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least, edits)
+    gone = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least, edits, copies)
     keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_th", F.xxhash64("text"))
     out = keyed.join(gone.toDF("_doc", "_th", "_gone"), ["_doc", "_th"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")

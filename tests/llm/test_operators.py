@@ -335,3 +335,11 @@ def test_pipeline_drops_documents_of_a_similarity_between_80_and_85(spark):
     assert 0.8 <= len(a & b) / len(a | b) < 0.85
     got = corpus_pipeline.dedup_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in got.collect()) == list(range(0, 20, 2))
+
+
+def test_pipeline_drops_copies_of_short_lines(spark):
+    import corpus_pipeline
+
+    rows = [(1, "Ietzte.\n\nIetzte.\nx\n  \n\nIetzten.", 30), (2, "x\n  \nIetzte.\nnew", 18), (3, "x\nIetzten.", 10), (4, "a line of some length here", 26), (5, "a line of some lengtH here\n{", 28)]
+    got = corpus_pipeline.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "")
+    assert {tuple(r) for r in got.collect()} == {(1, "Ietzte.\n\nx\n  \n\nIetzten.", 23), (2, "  \nnew", 6), (4, rows[3][1], 26), (5, "{", 1)}
