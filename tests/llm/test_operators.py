@@ -343,3 +343,38 @@ def test_pipeline_drops_copies_of_short_lines(spark):
     rows = [(1, "Ietzte.\n\nIetzte.\nx\n  \n\nIetzten.", 30), (2, "x\n  \nIetzte.\nnew", 18), (3, "x\nIetzten.", 10), (4, "a line of some length here", 26), (5, "a line of some lengtH here\n{", 28)]
     got = corpus_pipeline.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "")
     assert {tuple(r) for r in got.collect()} == {(1, "Ietzte.\n\nx\n  \n\nIetzten.", 23), (2, "  \nnew", 6), (4, rows[3][1], 26), (5, "{", 1)}
+
+
+def test_alignments_by_codes_one_bit_apart(spark):
+    """Against votes of every pair of integers at one bit or none."""
+    from graphloom.llm.chroma import alignments
+
+    r = random.Random(3)
+    bits = lambda x, y: bin(x ^ y).count("1")
+    recs = {}
+    for k in range(12):
+        base = [r.getrandbits(32) for _ in range(r.choice([1, 1, 2, 9]))]
+        for j in range(4):
+            recs[10 * k + j] = [x ^ (1 << r.randrange(32)) if j else x for x in base]
+    want = {}
+    for q, x in recs.items():
+        for i, y in recs.items():
+            votes = Counter(b - a for a in range(len(x)) for b in range(len(y)) if bits(x[a], y[b]) <= 1)
+            if q % 10 or q == i or not votes:
+                continue
+            at, n = max(votes.items(), key=lambda p: (p[1], -abs(p[0]), p[0]))
+            over = [(x[a], y[a + at]) for a in range(len(x)) if 0 <= a + at < len(y)]
+            errors = sum(bits(*p) for p in over) / 32 / len(over)
+            if (n >= 2 or min(len(x), len(y)) <= 3) and errors <= 0.3:
+                want[(q, i)] = (at, n, round(errors, 9))
+    rows = [(i, np.array(x, np.uint32).view(np.int32).tolist()) for i, x in recs.items()]
+    codes = spark.createDataFrame(rows, "rec long, codes array<int>")
+    got = alignments(codes, codes.where("rec % 10 = 0").selectExpr("rec q")).collect()
+    assert len(want) >= 36 and {(g.q, g.r): (g.offset, g.votes, round(g.errors, 9)) for g in got} == want
+
+
+def test_recordings_of_the_length_of_texts_have_several_codes():
+    from graphloom.llm.chroma import fingerprint
+
+    text = np.frombuffer(prose(400).encode()[:1500], np.uint8)
+    assert len(fingerprint(text, 2000)) == 3
