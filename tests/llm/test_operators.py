@@ -378,3 +378,13 @@ def test_recordings_of_the_length_of_texts_have_several_codes():
 
     text = np.frombuffer(prose(400).encode()[:1500], np.uint8)
     assert len(fingerprint(text, 2000)) == 3
+
+
+def test_closest_recording_is_another_one(spark):
+    from graphloom.llm.chroma import search_recordings
+
+    text = prose(200).encode()
+    rows = [(20, text), (40, text), (41, text), (60, prose(200).encode())]
+    got = {x.doc_id: x for x in search_recordings(spark.createDataFrame(rows, "doc_id long, pcm binary"), "doc_id", "pcm").collect()}
+    assert [got[i].best_id for i in (20, 40, 41)] == [40, 20, None] and got[60].best_id != 60
+    assert [got[i].n_aligned for i in (20, 40)] == [2, 2] and got[20].class_id == 20
