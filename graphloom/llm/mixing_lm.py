@@ -162,7 +162,7 @@ def batches_of(starts, ends, most: int = 100_000):
 
 def _counter(batches):
     """Sums of a task's buckets: the slots' counts, tokens and distinct tokens."""
-    sums = [np.zeros(2 << s, np.float32) for s in SLOTS]
+    sums = [np.zeros(2 << s, np.uint32) for s in SLOTS]  # exact to 4e9, where float32 stops at 2^24
     n = v = 0
     rows: dict[int, tuple[list, list]] = {}
     for batch in batches:
@@ -177,8 +177,8 @@ def _counter(batches):
         n, v = n + int(count.sum()), v + len(count)
         for i, j in batches_of(starts, ends):
             token, byte, _, ctx = coded(data, starts[i:j], ends[i:j])
-            weight = count[i:j][token].astype(np.float32)
-            whole = np.where(weight > 1, weight, np.float32(0))  # a token seen once tells its whole nothing
+            weight = count[i:j][token].astype(np.uint32)
+            whole = np.where(weight > 1, weight, np.uint32(0))  # a token seen once tells its whole nothing
             for b in range(8):
                 slots, bit = bit_slots(ctx, byte, b)
                 for k in range(P):
@@ -191,7 +191,7 @@ def _counter(batches):
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x), np.float32).astype(np.float64) for x in table["part"].to_pylist())
+    total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.float64) for x in table["part"].to_pylist())
     return pa.table({"k": table["k"][:1], "p": table["p"][:1], "n": pa.array([sum(table["n"].to_pylist())]), "v": pa.array([sum(table["v"].to_pylist())]), "part": pa.array([zlib.compress(total.astype(np.float32).tobytes(), 1)], pa.binary())})
 
 

@@ -388,3 +388,17 @@ def test_closest_recording_is_another_one(spark):
     got = {x.doc_id: x for x in search_recordings(spark.createDataFrame(rows, "doc_id long, pcm binary"), "doc_id", "pcm").collect()}
     assert [got[i].best_id for i in (20, 40, 41)] == [40, 20, None] and got[60].best_id != 60
     assert [got[i].n_aligned for i in (20, 40)] == [2, 2] and got[20].class_id == 20
+
+
+def test_slot_counts_beyond_24_bits():
+    """The slots of the first byte count one token of 2^24 and 39 others."""
+    from graphloom.llm import mixing_lm as M
+    import pyarrow as pa
+
+    counts = np.array([1 << 24] + [1] * 39, np.uint32)
+    words = "".join(f"a{i:02}\n" for i in range(40)).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([zlib.compress(counts.tobytes())]), pa.array([zlib.compress(words)])], names=["bucket", "x", "counts", "words"])
+    parts = [pa.Table.from_batches([b]) for b in M._counter([batch])]
+    for k in range(M.P):
+        total = np.concatenate([np.frombuffer(zlib.decompress(M._summed(t)["part"][0].as_py()), np.float32) for t in parts if t["k"][0].as_py() == k])
+        assert k == M.WHOLE or np.float32((1 << 24) + 39) in total
