@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.sources.scratch import materialize
+from graphloom.sources.scratch import discard, materialize
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most_roun
         if seen["n"] == 0 or seen == mark:
             break
         mark = seen
-        now = materialize(_stars(now), "stars")
+        before, now = now, materialize(_stars(now), "stars")
+        discard(before)
     else:
         raise RuntimeError(f"components did not converge in {most_rounds} rounds")
     roots = now.select(F.col("a").alias("vertex_id"), F.col("b").alias("component_id"))

@@ -14,11 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; set to a temporary one only where none is configured (tests)."""
+    """The shared scratch folder, from the session. Only where driver and executors are one process (tests) a temporary one does."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         old = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = old.get() if old.isDefined() else tempfile.mkdtemp(prefix="graphloom-")
+        if old.isDefined():
+            found = old.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            found = tempfile.mkdtemp(prefix="graphloom-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -31,34 +36,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = (path, None)
+    return out
 
 
 def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """As ``materialize``, bucketed by ``key``: later joins on it do not move this side again."""
     spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).format("parquet").option("path", fresh_path(spark, name)).saveAsTable(table)
-    return spark.table(table)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans nobody holds: Spark removes them when the driver collects its garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
-def discard(table: DataFrame) -> None:
-    """Delete the files of a scratch table that nothing reads any more; files outside the shared folder stay."""
-    spark = table.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    Path = jvm.org.apache.hadoop.fs.Path
-    top = Path(shared_dir(spark))
-    fs = top.getFileSystem(conf)
-    top = fs.makeQualified(top).toString().rstrip("/") + "/"
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        at = fs.makeQualified(Path(folder))
-        if at.toString().startswith(top):
-            fs.delete(at, True)
+    table, path = f"{name}_{uuid.uuid4().hex}", fresh_path(spark, name)
+    df.write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._scratch = (path, table)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        path, table = getattr(df, "_scratch", (None, None))
+        if path is None:
+            continue
+        spark = df.sparkSession
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        df._scratch = (None, None)
 
 
 def drop_columns_clash(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
@@ -75,3 +79,12 @@ def drop_columns_clash(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
         first.setdefault(c, n)
     flat = df.toDF(*names)
     return flat.select(*[(F.col(first[c]) if c in first else F.lit(None)).cast(t).alias(c) for c, t in wanted.items()])
+
+
+def by_position(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named ``_d0, _d1, ...``, and the new name of the first column of each name: no name can clash."""
+    names = [f"_d{i}" for i in range(len(df.columns))]
+    first: dict[str, str] = {}
+    for n, c in zip(names, df.columns):
+        first.setdefault(c, n)
+    return df.toDF(*names), first
