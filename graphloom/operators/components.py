@@ -2,46 +2,83 @@
 
 Alternating large-star and small-star rounds (Kiveris et al., 2014): each round is two
 hash aggregations and two joins, every vertex sends a row per neighbour and never a list
-of them, and the number of rounds grows with the logarithm of the diameter.
+of them, and the number of rounds grows with the logarithm of the diameter. A vertex of
+very many neighbours is a large key of the joins: they are plain equi-joins, which adaptive
+execution splits, and what meets there is one row of the vertex. Once ``FEW`` edges are left, or
+were there from the start, one task finishes them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from graphloom.sources.scratch import discard, materialize
 
+#: Edges that one task finishes: a few MB.
+FEW = 100_000
 
-def _stars(edges: DataFrame) -> DataFrame:
+
+def _finished(batches):
+    """The same stars as rounds end in: every vertex that is not the least of its component with the least."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    by = [table.column(i).to_pylist() for i in range(table.num_columns - 2)]
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            y = up[x]
+            up[x] = x = up.setdefault(y, y)
+        return x
+
+    for *k, a, b in zip(*by, table.column("a").to_pylist(), table.column("b").to_pylist()):
+        x, y = root((*k, a)), root((*k, b))
+        if x != y:
+            lo, hi = (x, y) if x[-1] < y[-1] else (y, x)
+            up[hi] = lo
+    rows = [(*x, root(x)[-1]) for x in list(up) if up[x] != x]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(table.schema.types)], names=table.schema.names)
+
+
+def _stars(edges: DataFrame, by: list[str]) -> DataFrame:
     """One round; edges (a, b) with a > b."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    both = edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy(*by, "a").agg(F.min("b").alias("m")).select(*by, "a", F.least("a", "m").alias("m"))
+    large = both.where("b > a").join(low, [*by, "a"]).where("b <> m").select(*by, F.col("b").alias("a"), F.col("m").alias("b"))
     # a vertex that is larger than all its neighbours keeps its edge to the least of them
-    large = large.unionByName(low.where("a <> m").select("a", F.col("m").alias("b"))).distinct()
-    least = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    large = large.unionByName(low.where("a <> m").select(*by, "a", F.col("m").alias("b"))).distinct()
+    least = large.groupBy(*by, "a").agg(F.min("b").alias("m"))
+    small = large.join(least, [*by, "a"]).where("b <> m").select(*by, F.col("b").alias("a"), F.col("m").alias("b"))
+    return small.unionByName(least.select(*by, "a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", by: list[str] | None = None, most_rounds: int = 200) -> DataFrame:
     """``vertex_id, component_id`` for every endpoint; the id is the smallest vertex reachable.
 
-    Self-loops name their vertex and link nothing. Rows with a null endpoint are ignored.
-    An empty table gives an empty table.
+    ``by`` names columns that tell graphs apart: all graphs of the table are found together, and
+    the result has these columns first. Self-loops name their vertex and link nothing. Rows with
+    a null endpoint are ignored. An empty table gives an empty table.
     """
-    ends = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u is not null and v is not null")
-    now = materialize(ends.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "stars")
+    names, by = by or [], [f"_k{i}" for i in range(len(by or []))]
+    ends = edges.select(*[F.col(n).alias(k) for n, k in zip(names, by)], F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u is not null and v is not null")
+    now = materialize(ends.where("u <> v").select(*by, F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "stars")
     mark = None
     for _ in range(most_rounds):
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
+        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*by, "a", "b").cast("decimal(20,0)")).alias("s")).first()
         if seen["n"] == 0 or seen == mark:
             break
+        if seen["n"] <= FEW:
+            before, now = now, materialize(now.coalesce(1).mapInArrow(_finished, T.StructType(now.schema.fields)), "stars")
+            discard(before)
+            break
         mark = seen
-        before, now = now, materialize(_stars(now), "stars")
+        before, now = now, materialize(_stars(now, by), "stars")
         discard(before)
     else:
         raise RuntimeError(f"components did not converge in {most_rounds} rounds")
-    roots = now.select(F.col("a").alias("vertex_id"), F.col("b").alias("component_id"))
-    named = ends.select(F.explode(F.array("u", "v")).alias("vertex_id")).distinct()
-    return named.join(roots, "vertex_id", "left").select("vertex_id", F.coalesce("component_id", "vertex_id").alias("component_id"))
+    roots = now.select(*by, F.col("a").alias("vertex_id"), F.col("b").alias("component_id"))
+    named = ends.select(*by, F.explode(F.array("u", "v")).alias("vertex_id")).distinct()
+    return named.join(roots, [*by, "vertex_id"], "left").select(*[F.col(k).alias(n) for n, k in zip(names, by)], "vertex_id", F.coalesce("component_id", "vertex_id").alias("component_id"))

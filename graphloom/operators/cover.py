@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from graphloom.operators.paths import path_folds, subtree_sums
 from graphloom.schema import MIN_LEVEL, NO_COVER
 
 
@@ -43,10 +44,22 @@ def fold_tags(edges: DataFrame, ops: DataFrame, steps: DataFrame) -> DataFrame:
     return edges.select("edge_id").join(done, "edge_id", "left").select("edge_id", F.coalesce("cover_level", F.lit(MIN_LEVEL)).alias("cover_level"))
 
 
-def add_on_paths(edges: DataFrame, ops: DataFrame, steps: DataFrame) -> DataFrame:
-    """``edge_id, weight`` after adding ``x`` of each ``seq, x`` to every edge of its path."""
-    plus = steps.select(F.col("qid").alias("seq"), "edge_id").join(ops.select("seq", "x"), "seq").groupBy("edge_id").agg(F.sum("x").alias("plus"))
-    return edges.join(plus, "edge_id", "left").select("edge_id", (F.col("weight") + F.coalesce("plus", F.lit(0))).alias("weight"))
+def add_on_paths(forest: DataFrame, edges: DataFrame, ops: DataFrame) -> DataFrame:
+    """``edge_id, weight`` of forest edges after adding ``x`` of each ``seq, u, v, x`` to every edge of its path.
+
+    An update marks its ends with x and their lowest common ancestor with -2x; an edge gains the sum
+    of the marks below it. No path is written out.
+    """
+    top = path_folds(forest, ops.select(F.col("seq").alias("qid"), "u", "v")).select(F.col("qid").alias("seq"), "lca")
+    marks = ops.join(top, "seq").select(F.explode(F.array(F.struct(F.col("u").alias("vertex_id"), F.col("x").cast("long").alias("x")), F.struct(F.col("v").alias("vertex_id"), F.col("x").cast("long").alias("x")), F.struct(F.col("lca").alias("vertex_id"), (-2 * F.col("x")).cast("long").alias("x")))).alias("m")).select("m.*")
+    plus = subtree_sums(forest, marks.groupBy("vertex_id").agg(F.sum("x").alias("x")), "x")
+    below = forest.where("parent is not null").select("vertex_id", F.col("parent_edge").alias("edge_id")).join(plus, "vertex_id")
+    return edges.join(below, "edge_id", "left").select("edge_id", (F.col("weight") + F.coalesce("total", F.lit(0))).alias("weight"))
+
+
+def identity_tag() -> Column:
+    """The tag that changes nothing: x becomes -1 where x <= -1."""
+    return F.struct(F.lit(MIN_LEVEL).alias("t"), F.lit(MIN_LEVEL).alias("c"))
 
 
 def size_vector_sum(sizes: DataFrame, *keys: str) -> DataFrame:
@@ -54,6 +67,13 @@ def size_vector_sum(sizes: DataFrame, *keys: str) -> DataFrame:
     return sizes.groupBy(*keys, "level").agg(F.sum("size").alias("size")).where("size <> 0")
 
 
+def part_entries(sizes: DataFrame, masks: DataFrame, *keys: str) -> DataFrame:
+    """The monoid of parts by ``keys``: size vectors summed as a map of levels, masks joined by or. ``sizes``: keys, level, size; ``masks``: keys, mask."""
+    a = size_vector_sum(sizes, *keys).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "size")))).alias("sizes"))
+    b = masks.groupBy(*keys).agg(F.bit_or("mask").alias("mask"))
+    return a.join(b, list(keys), "full_outer").select(*keys, "sizes", F.coalesce("mask", F.lit(0)).alias("mask"))
+
+
 def masked(sizes: DataFrame, level: int) -> DataFrame:
     """The entries of levels up to ``level``."""
     return sizes.where(F.col("level") <= level)

@@ -21,6 +21,23 @@ def with_sequence(rows: DataFrame, *order: str, name: str = "edge_id") -> DataFr
     return dealt.withColumn(name, at).join(F.broadcast(before), "_p").withColumn(name, F.col(name) + F.col("_b")).drop("_p", "_b")
 
 
+def running_sums(rows: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
+    """``rows`` with ``run_<c>`` for each column of ``values``: its sum (``sum``) or exclusive or (``xor``) over this and all rows before, in the given order.
+
+    A range sort, running values inside each partition and offsets from the partitions before; no task sees all rows.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    fold = {"sum": F.sum, "xor": F.bit_xor}
+    whole = dealt.groupBy("_p").agg(*[fold[k](c).alias(f"_{c}") for c, k in values.items()])
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    before = whole.select("_p", *[F.coalesce(fold[k](f"_{c}").over(ahead), F.lit(0)).alias(f"_b_{c}") for c, k in values.items()])
+    own = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.select("*", *[fold[k](c).over(own).alias(f"_o_{c}") for c, k in values.items()]).join(F.broadcast(before), "_p")
+    run = [((F.col(f"_o_{c}") + F.col(f"_b_{c}")) if k == "sum" else F.col(f"_o_{c}").bitwiseXOR(F.col(f"_b_{c}"))).alias(f"run_{c}") for c, k in values.items()]
+    return out.select(*rows.columns, *run)
+
+
 @dataclass
 class Graph:
     """``vertices(vertex_id)`` and ``edges(edge_id, u, v, weight, seq)``; parallel edges are edges of their own."""
@@ -67,12 +84,13 @@ class Graph:
         return self.edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count("*").alias("copies"), F.sort_array(F.collect_list("edge_id")).alias("edge_ids"))
 
     def find_edges(self, pairs: DataFrame, cover: DataFrame | None = None) -> DataFrame:
-        """``u, v, edge_id`` for unordered pairs: a tree edge first, else the lowest level and id; null if none."""
+        """``u, v, edge_id`` for unordered pairs: a tree edge first, else the smallest level (of a column ``level`` of ``cover``, if it has one) and id; null if none."""
         e = self.edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "edge_id")
         rank: list[Column] = [F.col("edge_id")]
         if cover is not None:
-            e = e.join(cover.select("edge_id", "is_tree"), "edge_id")
-            rank = [(~F.col("is_tree")).alias("t"), F.col("edge_id")]
+            level = F.when(F.col("is_tree"), 0).otherwise(F.col("level") if "level" in cover.columns else 0)
+            e = e.join(cover.select("edge_id", "is_tree", level.alias("level")), "edge_id")
+            rank = [(~F.col("is_tree")).alias("t"), F.col("level"), F.col("edge_id")]
         best = e.groupBy("a", "b").agg(F.min(F.struct(*rank)).alias("m")).select("a", "b", F.col("m.edge_id").alias("edge_id"))
         asked = pairs.select("u", "v", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
         return asked.join(best, ["a", "b"], "left").select("u", "v", "edge_id")
@@ -97,6 +115,21 @@ class Graph:
         e = self.edges.withColumn("a", F.least("u", "v")).withColumn("b", F.greatest("u", "v"))
         return Graph(self.vertices, e.join(p, ["a", "b"], "left_anti").select(*self.edges.columns))
 
+    def cut_edges(self, pairs: DataFrame) -> DataFrame:
+        """The edges that ``cut`` removes, with their payload."""
+        p = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        return self.edges.withColumn("a", F.least("u", "v")).withColumn("b", F.greatest("u", "v")).join(p, ["a", "b"], "left_semi").select(*self.edges.columns)
+
+    def isolated(self, ids: DataFrame) -> DataFrame:
+        """``vertex_id, is_there, is_isolated`` of the vertices asked for."""
+        d = self.degree().select("vertex_id", "degree")
+        return ids.select("vertex_id").distinct().join(d, "vertex_id", "left").select("vertex_id", F.col("degree").isNotNull().alias("is_there"), F.coalesce(F.col("degree") == 0, F.lit(False)).alias("is_isolated"))
+
+    def remove_isolated_vertices(self, ids: DataFrame) -> tuple[Graph, DataFrame]:
+        """Removes vertices without edges; and ``vertex_id`` of those refused, which have edges or are not there."""
+        asked = materialize(self.isolated(ids), "isolated")
+        return Graph(self.vertices.join(asked.where("is_isolated").select("vertex_id"), "vertex_id", "left_anti"), self.edges), asked.where("not is_isolated").select("vertex_id")
+
     def remove_vertices(self, ids: DataFrame) -> Graph:
         """Removes vertices with all their edges."""
         gone = ids.select("vertex_id")

@@ -1,10 +1,13 @@
-"""An ordered map ``key, value`` with range aggregates. Aggregates run in key order."""
+"""An ordered map ``key, value`` with range aggregates. Aggregates run in key order. A null value is a value: what counts is whether the key is there."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from graphloom.sources.scratch import materialize
+from graphloom.operators.graph import running_sums, with_sequence
+from graphloom.sources.scratch import discard, materialize
 
 
 def bounds(key: Column, lo: Column, lo_kind: Column, hi: Column, hi_kind: Column) -> Column:
@@ -21,24 +24,47 @@ def replay(log: DataFrame) -> DataFrame:
 
 
 def previous(log: DataFrame) -> DataFrame:
-    """``seq, old``: what each operation of a log found at its key; null for nothing."""
+    """``seq, was_there, old``: what each operation of a log found at its key (what insert and remove return)."""
     w = Window.partitionBy("key").orderBy("seq")
     before = F.lag(F.struct("op", "value")).over(w)
-    return log.withColumn("b", before).select("seq", F.when(F.col("b.op") == "insert", F.col("b.value")).alias("old"))
+    return log.withColumn("b", before).select("seq", F.coalesce(F.col("b.op") == "insert", F.lit(False)).alias("was_there"), F.when(F.col("b.op") == "insert", F.col("b.value")).alias("old"))
+
+
+def _joined(kv: DataFrame, new: DataFrame, how: str) -> DataFrame:
+    return kv.select("key", F.col("value").alias("old"), F.lit(True).alias("is_old")).join(new.select("key", F.col("value").alias("new"), F.lit(True).alias("is_new")), "key", how)
 
 
 def upsert(kv: DataFrame, new: DataFrame, merge=None) -> DataFrame:
     """Entries of both; at shared keys the new value, or ``merge(old, new)``."""
-    j = kv.withColumnRenamed("value", "old").join(new.withColumnRenamed("value", "new"), "key", "full_outer")
     both = F.col("new") if merge is None else merge(F.col("old"), F.col("new"))
-    return j.select("key", F.when(F.col("old").isNull(), F.col("new")).when(F.col("new").isNull(), F.col("old")).otherwise(both).alias("value"))
+    return _joined(kv, new, "full_outer").select("key", F.when(F.col("is_old").isNull(), F.col("new")).when(F.col("is_new").isNull(), F.col("old")).otherwise(both).alias("value"))
 
 
+# what may be done at the entry of a key; ``keys`` names the entries asked for, each once
 def or_insert(kv: DataFrame, keys: DataFrame, value: Column) -> DataFrame:
-    """Adds missing keys with the given value; present ones stay."""
+    """Adds missing keys with the given value, which may use ``key``; present ones stay."""
     return upsert(kv, keys.select("key").distinct().withColumn("value", value), lambda old, new: old)
 
 
+def or_default(kv: DataFrame, keys: DataFrame) -> DataFrame:
+    """Adds missing keys with the zero of the value's type; present ones stay."""
+    kind = kv.schema["value"].dataType
+    zero = F.lit("") if kind.typeName() == "string" else F.lit(0).cast(kind)
+    return or_insert(kv, keys, zero)
+
+
+def and_modify(kv: DataFrame, keys: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
+    """Changes the values of keys that are there; others are not added."""
+    return update_or_insert_with(kv, keys, change, None)
+
+
+def update_or_insert_with(kv: DataFrame, keys: DataFrame, change: Callable[[Column], Column], value: Column | None) -> DataFrame:
+    """Changes the values of keys that are there and, with ``value``, adds those that are not."""
+    asked = keys.select("key").distinct().withColumn("value", F.lit(None).cast(kv.schema["value"].dataType) if value is None else value)
+    j = _joined(kv, asked, "left" if value is None else "full_outer")
+    return j.select("key", F.when(F.col("is_old").isNull(), F.col("new")).when(F.col("is_new").isNull(), F.col("old")).otherwise(change(F.col("old"))).alias("value"))
+
+
 def update(kv: DataFrame, where: Column, value: Column) -> DataFrame:
     return kv.withColumn("value", F.when(where, value).otherwise(F.col("value")))
 
@@ -48,7 +74,8 @@ def remove(kv: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def get(kv: DataFrame, keys: DataFrame) -> DataFrame:
-    return keys.select("key").join(kv, "key", "left")
+    """``key, is_there, value`` of the keys asked for."""
+    return keys.select("key").join(kv.select("key", "value", F.lit(True).alias("h")), "key", "left").select("key", F.coalesce("h", F.lit(False)).alias("is_there"), "value")
 
 
 def first(kv: DataFrame) -> DataFrame:
@@ -70,6 +97,21 @@ def pop_last(kv: DataFrame) -> tuple[DataFrame, DataFrame]:
     return top, remove(kv, top)
 
 
+def totals(kv: DataFrame, **aggregates: Column) -> DataFrame:
+    """One row: ``len, is_empty`` and the given aggregates of all entries."""
+    return kv.agg(F.count("*").alias("len"), (F.count("*") == 0).alias("is_empty"), *[c.alias(n) for n, c in aggregates.items()])
+
+
+def clear(kv: DataFrame) -> DataFrame:
+    return kv.limit(0)
+
+
+def equal(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two maps hold the same entries: one join by key, none of them leaves the executors."""
+    j = _joined(a, b, "full_outer")
+    return j.where("is_old is null or is_new is null or not (old <=> new)").isEmpty()
+
+
 def scan(kv: DataFrame, lo=None, lo_kind="unbounded", hi=None, hi_kind="unbounded", descending: bool = False) -> DataFrame:
     """Entries of a range in key order; the filter reaches the file scan."""
     rows = kv
@@ -80,44 +122,72 @@ def scan(kv: DataFrame, lo=None, lo_kind="unbounded", hi=None, hi_kind="unbounde
     return rows.orderBy(F.col("key").desc() if descending else F.col("key"))
 
 
-def range_sums(kv: DataFrame, ranges: DataFrame, width: int = 4096) -> DataFrame:
-    """``rid, total, n`` for ranges ``rid, lo, lo_kind, hi, hi_kind`` over whole-number keys; 0 for an empty range.
+def keys(kv: DataFrame, descending: bool = False) -> DataFrame:
+    return scan(kv, descending=descending).select("key")
+
+
+def values(kv: DataFrame, descending: bool = False) -> DataFrame:
+    """Values in key order."""
+    return scan(kv, descending=descending).select("value")
+
+
+def _holds_nothing() -> Column:
+    """Whether a range is reversed, or has equal ends of which one is excluded."""
+    both = (F.col("lo_kind") != "unbounded") & (F.col("hi_kind") != "unbounded")
+    return both & ((F.col("lo") > F.col("hi")) | ((F.col("lo") == F.col("hi")) & ((F.col("lo_kind") == "excluded") | (F.col("hi_kind") == "excluded"))))
+
+
+def _ends(ranges: DataFrame, rows: DataFrame, step: dict[str, str]) -> DataFrame:
+    """``rid, side`` and the running sums of ``rows`` (``x, rank`` 1 and values) before each bounded end; keys of any type that sorts.
+
+    Ends and entries are sorted together, an end before or after the entries of its key.
+    """
+    lo = F.struct(F.col("lo").alias("x"), F.when(F.col("lo_kind") == "included", 0).otherwise(2).alias("rank"), F.lit("lo").alias("side"), F.col("lo_kind").alias("kind"))
+    hi = F.struct(F.col("hi").alias("x"), F.when(F.col("hi_kind") == "included", 2).otherwise(0).alias("rank"), F.lit("hi").alias("side"), F.col("hi_kind").alias("kind"))
+    ends = ranges.select("rid", F.explode(F.array(lo, hi)).alias("e")).select("rid", "e.*").where("kind <> 'unbounded'").drop("kind")
+    both = rows.select("x", "rank", F.lit(None).cast("long").alias("rid"), F.lit(None).cast("string").alias("side"), *step)
+    both = both.unionByName(ends.select("x", "rank", "rid", "side", *[F.lit(0).cast("long").alias(c) for c in step]))
+    return running_sums(both, ["x", "rank", "rid", "side"], step).where("rid is not null").select("rid", "side", *[f"run_{c}" for c in step])
+
+
+def range_sums(kv: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``rid, total, n`` for ranges ``rid, lo, lo_kind, hi, hi_kind`` (``rid`` unique); 0 for an empty range.
+
+    The difference of two running sums over entries and ends in one order: the cost is that of
+    sorting entries and ranges, however wide these are.
+    """
+    rows = kv.select(F.col("key").alias("x"), F.lit(1).alias("rank"), F.coalesce("value", F.lit(0)).cast("long").alias("s"), F.lit(1).cast("long").alias("c"))
+    at = _ends(ranges, rows, {"s": "sum", "c": "sum"}).groupBy("rid").agg(*[F.max(F.when(F.col("side") == e, F.col(f"run_{c}"))).alias(f"{e}_{c}") for e in ("lo", "hi") for c in "sc"])
+    whole = rows.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("all_s"), F.count("*").alias("all_c"))
+    j = ranges.join(at, "rid", "left").crossJoin(F.broadcast(whole))  # one row of totals
+    val = lambda c: F.when(_holds_nothing(), 0).otherwise(F.coalesce(f"hi_{c}", f"all_{c}") - F.coalesce(f"lo_{c}", F.lit(0))).cast("long")
+    return j.select("rid", val("s").alias("total"), val("c").alias("n"))
+
+
+def range_fold(kv: DataFrame, ranges: DataFrame, lift: Column, merge: Callable[[str], Column], identity: Column | None = None) -> DataFrame:
+    """``rid, value``: a fold of any monoid that an aggregate function gives, over each range; ``identity`` for an empty range.
 
-    Keys fall in buckets of ``width``. Whole buckets inside a range come from prefix sums over
-    buckets (a row a bucket), only its two border buckets from their entries.
+    Entries are numbered in key order; blocks of 2^l of them are folded level by level from the
+    level below (twice the entries in all). A range of places is made of two blocks a level at most.
     """
-    b = kv.withColumn("b", F.floor(F.col("key") / width))
-    per = b.groupBy("b").agg(F.sum("value").alias("s"), F.count("*").alias("c"))
-    top = per.withColumn("t", F.floor(F.col("b") / width))
-    tops = top.groupBy("t").agg(F.sum("s").alias("ts"), F.sum("c").alias("tc"))
-    run = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)  # a row for width * width keys
-    tops = tops.select("t", F.coalesce(F.sum("ts").over(run), F.lit(0)).alias("s0"), F.coalesce(F.sum("tc").over(run), F.lit(0)).alias("c0"))
-    inner = Window.partitionBy("t").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    prefix = materialize(top.select("t", "b", F.sum("s").over(inner).alias("s"), F.sum("c").over(inner).alias("c")).join(tops, "t").select("b", (F.col("s") + F.col("s0")).alias("s"), (F.col("c") + F.col("c0")).alias("c"), F.lead("b").over(Window.partitionBy("t").orderBy("b")).alias("nb"), "t"), "prefix")
-    r = ranges.select("rid", *[
-        F.when(F.col(f"{e}_kind") == "unbounded", F.lit(big)).otherwise(F.col(e) + F.when(F.col(f"{e}_kind") == "excluded", step).otherwise(0)).cast("long").alias(e)
-        for e, big, step in (("lo", -(2**62), 1), ("hi", 2**62, -1))
-    ])
-    # sum of keys < x for both ends x = lo and x = hi + 1
-    ends = r.select("rid", "lo", "hi", F.explode(F.array(F.struct(F.col("lo").alias("x"), F.lit(-1).alias("sign")), F.struct((F.col("hi") + 1).alias("x"), F.lit(1).alias("sign")))).alias("e")).where("lo <= hi").select("rid", "e.*")
-    ends = ends.withColumn("b", F.floor(F.col("x") / width))
-    part = ends.join(b, "b").where("key < x").groupBy("rid", "sign").agg(F.sum("value").alias("ps"), F.count("*").alias("pc"))
-    # the last bucket before x, found in the top block of x or before it
-    spine = prefix.select(F.col("b").alias("pb"), "s", "c", "nb", "t")
-    ends = ends.withColumn("t", F.floor(F.col("b") / width))
-    near = ends.join(spine, "t").where("pb < b and (nb is null or nb >= b)").select("rid", "sign", "s", "c")
-    blocks = spine.groupBy("t").agg(F.max_by(F.struct("s", "c"), "pb").alias("e"))
-    seq = blocks.withColumn("next_t", F.lead("t").over(Window.orderBy("t")))
-    rest = ends.join(near.select("rid", "sign"), ["rid", "sign"], "left_anti")
-    far = rest.join(F.broadcast(seq.select(F.col("t").alias("bt"), "e", "next_t")), (F.col("bt") < F.col("t")) & (F.col("next_t").isNull() | (F.col("next_t") >= F.col("t")))).select("rid", "sign", "e.s", "e.c")
-    whole = near.unionByName(far)
-    all_ = ends.select("rid", "sign").join(whole, ["rid", "sign"], "left").join(part, ["rid", "sign"], "left")
-    val = lambda a, p: F.sum(F.col("sign") * (F.coalesce(a, F.lit(0)) + F.coalesce(p, F.lit(0))))
-    got = all_.groupBy("rid").agg(val("s", "ps").alias("total"), val("c", "pc").alias("n"))
-    return ranges.select("rid").join(got, "rid", "left").select("rid", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-
-
-def range_aggregate(kv: DataFrame, ranges: DataFrame, identity: Column, aggregate: Column) -> DataFrame:
-    """``rid, value`` of any aggregate over each range by a range join; for many wide ranges of sums use ``range_sums``."""
-    j = ranges.join(kv, bounds(F.col("key"), F.col("lo"), F.col("lo_kind"), F.col("hi"), F.col("hi_kind")), "left")
-    return j.groupBy("rid").agg(F.when(F.count("key") > 0, aggregate).otherwise(identity).alias("value"))
+    entries = materialize(with_sequence(kv.select("key", lift.alias("f")), "key", name="k"), "entries")
+    level = entries.select((F.col("k") - 1).alias("b"), "f")
+    blocks = [materialize(level, "fold")]
+    while blocks[-1].count() > 1:
+        blocks.append(materialize(blocks[-1].groupBy(F.shiftright("b", 1).alias("b")).agg(merge("f").alias("f")), "fold"))
+    rows = entries.select(F.col("key").alias("x"), F.lit(1).alias("rank"), F.lit(1).cast("long").alias("c"))
+    at = _ends(ranges, rows, {"c": "sum"}).groupBy("rid").agg(*[F.max(F.when(F.col("side") == e, F.col("run_c"))).alias(e) for e in ("lo", "hi")])
+    n = entries.count()
+    asked = ranges.withColumn("none", _holds_nothing()).select("rid", "none").join(at, "rid", "left")
+    asked = asked.where("not none").select("rid", F.coalesce("lo", F.lit(0)).alias("i"), F.coalesce("hi", F.lit(n)).alias("j")).where("i < j")  # places i to j-1
+    found = None
+    asked = materialize(asked, "asked")
+    for b in blocks:
+        take = asked.select("rid", F.explode(F.filter(F.array(F.when(F.col("i") % 2 == 1, F.col("i")), F.when((F.col("j") % 2 == 1) & (F.col("j") > F.col("i")) & ~((F.col("i") % 2 == 1) & (F.col("j") - 1 == F.col("i"))), F.col("j") - 1)), lambda x: x.isNotNull())).alias("b"))
+        got = take.join(b, "b").select("rid", "f")
+        found = got if found is None else found.unionByName(got)
+        asked = asked.select("rid", F.shiftright(F.col("i") + 1, 1).alias("i"), F.shiftright("j", 1).alias("j")).where("i < j")
+    got = materialize(found.groupBy("rid").agg(merge("f").alias("value")), "folds")
+    discard(*blocks, entries)
+    out = ranges.select("rid").join(got, "rid", "left")
+    return out if identity is None else out.select("rid", F.coalesce("value", identity).alias("value"))

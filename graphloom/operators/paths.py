@@ -1,19 +1,107 @@
-"""Paths of a rooted forest as rows, and what is asked of them.
+"""Paths of a rooted forest, and what is asked of them.
 
-A query is a row ``qid, u, v``; its path is one row an edge, in order from u to v. Path
-aggregates are then ordinary grouped aggregates. Queries with unconnected, equal or unknown
-ends have no path rows.
+A query is a row ``qid, u, v``. Lowest common ancestors and aggregates that do not depend on the
+direction come from binary lifting: a table for each power of two holds, for the vertices deep
+enough, the ancestor so far up and the aggregate of the edges on the way; a query takes two such
+steps a power, whatever the length of its path. Only where the path itself is asked for is it
+one row an edge, in order from u to v.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.operators.components import connected_components
+from graphloom.operators.graph import running_sums
 from graphloom.operators.structure import MOST_EDGES
 from graphloom.schema import NO_COVER
-from graphloom.sources.scratch import materialize
+from graphloom.sources.scratch import discard, materialize
+
+Merge = Callable[[Column, Column], Column]
+
+
+def lifted(base: DataFrame, merge: dict[str, Merge]) -> list[DataFrame]:
+    """``vertex_id, anc`` and values for each power of two. ``base`` has ``vertex_id, anc`` (the parent) and the values of the edge between."""
+    tables = [materialize(base.select("vertex_id", "anc", *merge), "lift")]
+    while True:
+        t = tables[-1]
+        far = t.select(F.col("vertex_id").alias("anc"), F.col("anc").alias("far"), *[F.col(c).alias(f"{c}_far") for c in merge])
+        nxt = materialize(t.join(far, "anc").select("vertex_id", F.col("far").alias("anc"), *[m(F.col(c), F.col(f"{c}_far")).alias(c) for c, m in merge.items()]), "lift")
+        if nxt.isEmpty():
+            return tables
+        tables.append(nxt)
+
+
+def path_folds(forest: DataFrame, pairs: DataFrame, values: DataFrame | None = None, merge: dict[str, Merge] | None = None) -> DataFrame:
+    """``qid, lca, path_len`` and a fold for each column of ``merge`` over the path's edges; only for connected pairs of known vertices.
+
+    ``values`` has ``vertex_id`` and the value of the edge to its parent by column; a merge must be
+    associative and commutative. A fold over no edges is null.
+    """
+    merge = merge or {}
+    base = forest.where("parent is not null").select("vertex_id", F.col("parent").alias("anc"))
+    if values is not None:
+        base = base.join(values.select("vertex_id", *merge), "vertex_id")
+    tables = lifted(base, merge)
+    at = forest.select("vertex_id", "component_id", "depth")
+    q = pairs.select("qid", "u", "v").join(at.toDF("u", "cu", "du"), "u").join(at.toDF("v", "cv", "dv"), "v").where("cu = cv")
+    swap = F.col("du") < F.col("dv")
+    q = q.select("qid", F.when(swap, F.col("v")).otherwise(F.col("u")).alias("x"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("y"), F.least("du", "dv").alias("d"), F.abs(F.col("du") - F.col("dv")).alias("up"),
+                 (F.col("du") + F.col("dv")).alias("sum"), *[F.lit(None).cast(tables[0].schema[c].dataType).alias(c) for c in merge])
+    q = materialize(q, "asked")
+
+    def both(c, other):
+        return F.when(F.col(c).isNull(), other).when(other.isNull(), F.col(c)).otherwise(merge[c](F.col(c), other))
+
+    def stepped(q: DataFrame, table: DataFrame, ends: list[str], when: Column) -> DataFrame:
+        """The ends taken up by a table where ``when`` holds and, for two ends, they then still differ. Rows that stay keep their key, so none is hot."""
+        q = q.withColumn("_f", F.when(when, 1).otherwise(0))
+        for e in ends:
+            q = q.join(table.select(F.col("vertex_id").alias(e), F.col("anc").alias(f"_{e}"), F.lit(1).alias("_f"), *[F.col(c).alias(f"_{c}{e}") for c in merge]), [e, "_f"], "left")
+        go = F.col(f"_{ends[0]}").isNotNull()
+        if len(ends) == 2:
+            go = go & (F.col("_x") != F.col("_y"))
+        cols = [F.when(go, F.col(f"_{e}")).otherwise(F.col(e)).alias(e) if e in ends else F.col(e) for e in ("x", "y")]
+        folds = []
+        for c in merge:
+            new = F.col(f"_{c}{ends[0]}") if len(ends) == 1 else merge[c](F.col(f"_{c}x"), F.col(f"_{c}y"))
+            folds.append(F.when(go, both(c, new)).otherwise(F.col(c)).alias(c))
+        return q.select("qid", *cols, "d", "up", "sum", *folds)
+
+    def kept(q: DataFrame, n: int) -> DataFrame:
+        return materialize(q, "asked") if n % 4 == 3 else q  # plans stay short
+
+    for k, t in enumerate(tables):
+        q = kept(stepped(q, t, ["x"], F.expr(f"shiftright(up, {k}) % 2 = 1")), k)
+    for k in reversed(range(len(tables))):
+        q = kept(stepped(q, tables[k], ["x", "y"], (F.col("x") != F.col("y"))), k)
+    # one step more where the ends still differ: to their common parent
+    last = tables[0].select(F.col("vertex_id").alias("x"), F.col("anc").alias("top"), F.lit(1).alias("_f"), *[F.col(c).alias(f"_{c}x") for c in merge])
+    side = tables[0].select(F.col("vertex_id").alias("y"), F.lit(1).alias("_f"), *[F.col(c).alias(f"_{c}y") for c in merge])
+    q = q.withColumn("_f", F.when(F.col("x") != F.col("y"), 1).otherwise(0)).join(last, ["x", "_f"], "left").join(side, ["y", "_f"], "left")
+    folds = [F.when(F.col("top").isNull(), F.col(c)).otherwise(both(c, merge[c](F.col(f"_{c}x"), F.col(f"_{c}y")))).alias(c) for c in merge]
+    q = materialize(q.select("qid", F.coalesce("top", "x").alias("lca"), "sum", *folds), "folds")
+    discard(*tables)
+    return q.join(at.select(F.col("vertex_id").alias("lca"), "depth"), "lca").select("qid", "lca", (F.col("sum") - 2 * F.col("depth")).alias("path_len"), *merge)
+
+
+def edge_values(forest: DataFrame, edges: DataFrame, **columns: Column) -> DataFrame:
+    """``vertex_id`` and columns of the edge to its parent."""
+    return forest.where("parent is not null").select("vertex_id", F.col("parent_edge").alias("edge_id")).join(edges, "edge_id").select("vertex_id", *[c.alias(n) for n, c in columns.items()])
+
+
+def subtree_sums(forest: DataFrame, marks: DataFrame, value: str) -> DataFrame:
+    """``vertex_id, total``: the sum of ``value`` over the marks ``vertex_id, <value>`` at the vertices below each vertex, itself included. One running sum over the tour."""
+    at = forest.select("vertex_id", "component_id", "tin", "tout")
+    zero = F.lit(0).cast("long")
+    rows = marks.join(at, "vertex_id").select("component_id", F.col("tin").alias("pos"), F.lit(1).alias("rank"), "vertex_id", F.col(value).cast("long").alias("x"))
+    ends = at.select("component_id", "vertex_id", F.explode(F.array(F.struct(F.col("tin").alias("pos"), F.lit(0).alias("rank")), F.struct(F.col("tout").alias("pos"), F.lit(2).alias("rank")))).alias("e")).select("component_id", "e.pos", "e.rank", "vertex_id", zero.alias("x"))
+    ran = running_sums(rows.unionByName(ends), ["component_id", "pos", "rank", "vertex_id"], {"x": "sum"}).where("rank <> 1")
+    return ran.groupBy("vertex_id").agg(F.sum(F.when(F.col("rank") == 2, F.col("run_x")).otherwise(-F.col("run_x"))).alias("total"))
+
 
 STEPS = "qid long, pos long, edge_id long, a long, b long"
 
@@ -86,61 +174,88 @@ def ordered_edges(column: str = "edge_id") -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct("pos", column))), lambda s: s[column])
 
 
-def between(steps: DataFrame, pairs: DataFrame, cover: DataFrame) -> DataFrame:
+def between(forest: DataFrame, pairs: DataFrame, cover: DataFrame) -> DataFrame:
     """``qid, cover_level, min_edge, bridge``: least cover on the path (``NO_COVER`` without path), the smallest edge of that cover, the smallest bridge."""
-    m = F.min(F.struct("cover_level", "edge_id"))
-    got = fold(steps, pairs, cover.select("edge_id", "cover_level"), m=m, bridge=F.min(F.when(F.col("cover_level") == -1, F.col("edge_id"))))
-    return got.select("qid", F.coalesce("m.cover_level", F.lit(NO_COVER)).cast("int").alias("cover_level"), F.col("m.edge_id").alias("min_edge"), "bridge")
+    values = edge_values(forest, cover.select("edge_id", "cover_level"), m=F.struct("cover_level", "edge_id"), bridge=F.when(F.col("cover_level") == -1, F.col("edge_id")))
+    least = lambda a, b: F.least(a, b)
+    got = path_folds(forest, pairs, values, {"m": least, "bridge": least})
+    return pairs.select("qid").join(got, "qid", "left").select("qid", F.coalesce("m.cover_level", F.lit(NO_COVER)).cast("int").alias("cover_level"), F.col("m.edge_id").alias("min_edge"), "bridge")
 
 
-def level_components(vertices: DataFrame, cover: DataFrame, levels: DataFrame) -> DataFrame:
-    """``level, vertex_id, part``: components of the forest edges of that cover level or more, for every level asked.
+def len_sum_max(forest: DataFrame, pairs: DataFrame, edges: DataFrame, weight: str = "weight") -> DataFrame:
+    """``qid, path_len, path_sum, path_max``: 0 for equal ends, null without path."""
+    w = F.col(weight)
+    got = path_folds(forest, pairs, edge_values(forest, edges.select("edge_id", weight), path_sum=w, path_max=w), {"path_sum": lambda a, b: a + b, "path_max": lambda a, b: F.greatest(a, b)})
+    zero = lambda c: F.when(F.col("path_len").isNotNull(), F.coalesce(c, F.lit(0))).alias(c)
+    return pairs.select("qid").join(got, "qid", "left").select("qid", "path_len", zero("path_sum"), zero("path_max"))
 
-    All levels are found in one pass, on vertices named by level and vertex.
-    """
-    span = 64
+
+def level_components(vertices: DataFrame, cover: DataFrame, levels: DataFrame) -> DataFrame:
+    """``level, vertex_id, part``: components of the forest edges of that cover level or more, for every level asked; all levels in one pass."""
     at = levels.select("level").distinct()
-    name = lambda c: F.col(c) * span + F.col("level") + 1
-    e = cover.where("cover_level is not null").crossJoin(F.broadcast(at)).where("cover_level >= level").select(name("u").alias("u"), name("v").alias("v"))  # levels: 64 at most
-    parts = connected_components(e).select("vertex_id", F.floor(F.col("component_id") / span).alias("part"))
-    own = vertices.select("vertex_id").crossJoin(F.broadcast(at)).select("level", F.col("vertex_id").alias("x"), name("vertex_id").alias("vertex_id"))
-    return materialize(own.join(parts, "vertex_id", "left").select("level", F.col("x").alias("vertex_id"), F.coalesce("part", "x").alias("part")), "parts")
+    e = cover.where("cover_level is not null").select("u", "v", "cover_level").join(F.broadcast(at), F.col("cover_level") >= F.col("level")).select("level", "u", "v")  # levels: 34 at most
+    parts = connected_components(e, by=["level"]).withColumnRenamed("component_id", "part")
+    own = vertices.select("vertex_id").crossJoin(F.broadcast(at))
+    return materialize(own.join(parts, ["level", "vertex_id"], "left").select("level", "vertex_id", F.coalesce("part", "vertex_id").alias("part")), "parts")
+
 
+def find_size(queries: DataFrame, forest: DataFrame, cover: DataFrame) -> DataFrame:
+    """``qid, size`` for queries ``qid, u, v, level``: vertices whose cover level to the path is ``level`` or more; 0 if unconnected.
 
-def find_size(queries: DataFrame, steps: DataFrame, forest: DataFrame, cover: DataFrame) -> DataFrame:
-    """``qid, size`` for queries ``qid, u, v, level``: vertices whose cover level to the path is ``level`` or more; 0 if unconnected."""
+    These are the parts of that level that the path meets: the one of the lowest common ancestor,
+    and below each edge of a smaller level on the path the part under it. The sizes are summed
+    by lifting, for all levels asked at once.
+    """
     parts = level_components(forest, cover, queries)
-    sizes = parts.groupBy("level", "part").agg(F.count("*").alias("n"))
-    on = path_vertices(steps, queries, forest).join(queries.select("qid", "level"), "qid")
-    met = on.join(parts, ["level", "vertex_id"]).select("qid", "level", "part").distinct().join(sizes, ["level", "part"])
-    got = met.groupBy("qid").agg(F.sum("n").alias("size"))
-    return queries.select("qid").join(got, "qid", "left").select("qid", F.coalesce("size", F.lit(0)).alias("size"))
+    sized = materialize(parts.join(parts.groupBy("level", "part").agg(F.count("*").alias("size")), ["level", "part"]).select("level", "vertex_id", "size"), "sized")
+    under = edge_values(forest, cover.select("edge_id", "cover_level"), cover_level=F.col("cover_level"))
+    cut = sized.join(under, "vertex_id").groupBy("vertex_id").agg(F.map_from_entries(F.collect_list(F.struct("level", F.when(F.col("cover_level") < F.col("level"), F.col("size")).otherwise(F.lit(0)).alias("n")))).alias("cut"))
+    add = lambda a, b: F.map_zip_with(a, b, lambda _, x, y: x + y)
+    got = path_folds(forest, queries, cut, {"cut": add})
+    met = queries.select("qid", "level").join(got, "qid").join(sized.withColumnRenamed("vertex_id", "lca"), ["lca", "level"])
+    met = met.select("qid", (F.col("size") + F.coalesce(F.col("cut")[F.col("level")], F.lit(0))).alias("size"))
+    return queries.select("qid").join(met, "qid", "left").select("qid", F.coalesce("size", F.lit(0)).alias("size"))
+
 
+def find_first_label(queries: DataFrame, forest: DataFrame, cover: DataFrame, labels: DataFrame) -> DataFrame:
+    """``qid, label_id`` for queries ``qid, u, v, level``: of the labels of exactly this level at vertices of that cover level to the path, the one whose meeting place with the path is nearest to u, then the smallest vertex and label; null if none.
 
-def _near_labels(queries, steps, forest, cover, labels):
+    The parts that the path meets are told apart by the edges of smaller level on it; a query is
+    compared with the labels of the parts that its path meets, and meeting places are the
+    deepest of three lowest common ancestors.
+    """
     parts = level_components(forest, cover, queries)
-    on = path_vertices(steps, queries.select("qid", "u", "v").distinct(), forest).join(queries.select("qid", "level"), "qid")
-    met = on.join(parts, ["level", "vertex_id"]).select("qid", "level", "part").distinct()
-    return met.join(parts, ["level", "part"]).join(labels.select("vertex_id", "level", "label_id"), ["vertex_id", "level"]).select("qid", "level", "vertex_id", "label_id")
-
-
-def find_first_label(queries: DataFrame, steps: DataFrame, forest: DataFrame, cover: DataFrame, labels: DataFrame) -> DataFrame:
-    """``qid, label_id`` for queries ``qid, u, v, level``: of the labels of exactly this level at vertices of that cover level to the path, the one whose meeting place with the path is nearest to u, then the smallest vertex and label; null if none."""
-    cand = materialize(_near_labels(queries, steps, forest, cover, labels), "near")
-    ends = cand.select("qid", F.col("vertex_id").alias("w")).distinct().join(queries.select("qid", "u"), "qid")
-    sub = materialize(ends.withColumn("sid", F.xxhash64("u", "w")), "sub")
-    asked = sub.select(F.col("sid").alias("qid"), "u", F.col("w").alias("v")).distinct()
-    way = path_vertices(path_edges(forest, asked), asked, forest).select(F.col("qid").alias("sid"), "vertex_id")
-    on = path_vertices(steps, queries, forest)
-    meet = sub.join(way, "sid").join(on, ["qid", "vertex_id"]).groupBy("qid", "w").agg(F.max("pos").alias("dist"))
-    best = cand.join(meet, (cand["qid"] == meet["qid"]) & (cand["vertex_id"] == meet["w"])).select(cand["qid"], "dist", "vertex_id", "label_id").groupBy("qid").agg(F.min(F.struct("dist", "vertex_id", "label_id")).alias("m"))
+    has = materialize(labels.select("vertex_id", "level", "label_id").join(parts, ["level", "vertex_id"]), "labelled")
+    steps = path_edges(forest, queries.select("qid", "u", "v"))
+    on = path_vertices(steps, queries, forest).join(queries.select("qid", "level"), "qid").join(parts, ["level", "vertex_id"])
+    first = on.groupBy("qid", "level", "part").agg(F.min("pos").alias("pos")).join(has.select("level", "part").distinct(), ["level", "part"])
+    # parts follow each other along the path: the first that has a label holds the answer
+    first = first.groupBy("qid", "level").agg(F.min_by("part", "pos").alias("part"))
+    cand = materialize(first.join(has, ["level", "part"]).select("qid", F.col("vertex_id").alias("w"), "label_id"), "near")
+    ends = cand.select("qid", "w").distinct().join(queries.select("qid", "u", "v"), "qid")
+    # lowest common ancestors of w with both ends; pairs asked twice are asked once
+    pairs = ends.select("w", F.explode(F.array("u", "v")).alias("e")).distinct()
+    pairs = materialize(pairs.withColumn("k", F.monotonically_increasing_id()), "meet")
+    lca = path_folds(forest, pairs.select(F.col("k").alias("qid"), F.col("w").alias("u"), F.col("e").alias("v"))).select(F.col("qid").alias("k"), "lca")
+    lca = pairs.join(lca, "k").join(forest.select(F.col("vertex_id").alias("lca"), "depth"), "lca").select("w", "e", "depth")
+    top = path_folds(forest, queries.select("qid", "u", "v")).join(queries.select("qid", "u"), "qid").join(forest.select(F.col("vertex_id").alias("u"), F.col("depth").alias("du")), "u").join(forest.select(F.col("vertex_id").alias("lca"), F.col("depth").alias("dl")), "lca").select("qid", "du", "dl")
+    met = ends.join(lca.toDF("w", "u", "a"), ["w", "u"]).join(lca.toDF("w", "v", "b"), ["w", "v"]).join(top, "qid")
+    # the meeting place is above u where u's ancestor is the deeper one, else above v
+    met = met.select("qid", "w", F.when(F.col("a") >= F.col("b"), F.col("du") - F.greatest("a", "dl")).otherwise(F.col("du") + F.col("b") - 2 * F.col("dl")).alias("dist"))
+    best = cand.join(met, ["qid", "w"]).groupBy("qid").agg(F.min(F.struct("dist", "w", "label_id")).alias("m"))
     return queries.select("qid").join(best, "qid", "left").select("qid", F.col("m.label_id").alias("label_id"))
 
 
-def incident_mask(queries: DataFrame, steps: DataFrame, forest: DataFrame, cover: DataFrame, labels: DataFrame) -> DataFrame:
-    """``qid, mask``: bit ``level + 1`` is set where such a label exists, over all levels of the labels."""
-    levels = labels.select("level").distinct()
-    each = queries.select("qid", "u", "v").crossJoin(F.broadcast(levels))  # 34 levels at most
-    near = _near_labels(each, steps.join(queries.select("qid"), "qid", "left_semi"), forest, cover, labels)
-    got = near.groupBy("qid").agg(F.bit_or(F.expr("shiftleft(1L, level + 1)")).alias("mask"))
-    return queries.select("qid").join(got, "qid", "left").select("qid", F.coalesce("mask", F.lit(0)).alias("mask"))
+def incident_mask(queries: DataFrame, forest: DataFrame, cover: DataFrame, labels: DataFrame) -> DataFrame:
+    """``qid, mask``: bit ``level + 1`` is set where such a label exists, over all levels of the labels.
+
+    A vertex's bits tell which levels have a label in its part of that level; a path's are those of
+    its vertices, found by lifting. For u = v this is the point form.
+    """
+    parts = level_components(forest, cover, labels)
+    has = labels.select("vertex_id", "level").distinct().join(parts, ["level", "vertex_id"]).select("level", "part").distinct()
+    bits = parts.join(has, ["level", "part"]).groupBy("vertex_id").agg(F.bit_or(F.expr("shiftleft(1L, level + 1)")).alias("mask"))
+    own = materialize(forest.select("vertex_id", "parent").join(bits, "vertex_id", "left").select("vertex_id", "parent", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")), "masks")
+    got = path_folds(forest, queries, own.where("parent is not null").select("vertex_id", "mask"), {"mask": lambda a, b: a.bitwiseOR(b)})
+    top = got.join(own.select(F.col("vertex_id").alias("lca"), F.col("mask").alias("at")), "lca").select("qid", F.coalesce("mask", F.lit(0).cast("long")).bitwiseOR(F.col("at")).alias("mask"))
+    return queries.select("qid").join(top, "qid", "left").select("qid", F.coalesce("mask", F.lit(0)).alias("mask"))

@@ -1,9 +1,9 @@
 """Derived tables: components, spanning forest, covers, bridges, two-edge-connected components.
 
-Two kernels give the same tables. Where every component has at most ``most_edges`` edges, a
-component is one group and a linear pass over it finds all of it. Larger components go
-through rounds of joins: Boruvka for the forest, breadth-first rooting, and climbing of
-non-tree edges.
+Two kernels give the same tables. A component of at most ``most_edges`` edges is one group and a
+linear pass over it finds all of it. Larger components of the same graph go through rounds of
+joins, as many as the logarithm of their size whatever their shape: Boruvka for the forest, an
+Euler tour ranked by pointer doubling for the rooting, and sums over the tour for the covers.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.operators.components import connected_components
-from graphloom.operators.graph import Graph
+from graphloom.operators.graph import Graph, running_sums, with_sequence
 from graphloom.schema import NO_COVER
-from graphloom.sources.scratch import materialize
+from graphloom.sources.scratch import discard, materialize
 
 #: Edges of the largest component that one task takes (about 300 bytes each in the pass).
 MOST_EDGES = 1_000_000
@@ -24,9 +24,10 @@ MOST_EDGES = 1_000_000
 
 @dataclass
 class Structure:
-    """``comp(vertex_id, component_id, size)``, ``forest(vertex_id, component_id, parent, parent_edge, depth, block)``, ``cover(edge_id, u, v, weight, seq, is_tree, is_bridge, cover_level)``.
+    """``comp(vertex_id, component_id, size)``, ``forest(vertex_id, component_id, parent, parent_edge, depth, block, tin, tout)``, ``cover(edge_id, u, v, weight, seq, is_tree, is_bridge, cover_level)``.
 
-    Roots are the smallest vertices. ``block`` names the two-edge-connected component by its
+    Roots are the smallest vertices. The vertices below one, itself included, are those of its
+    component whose ``tin`` is from its ``tin`` to its ``tout``. ``block`` names the two-edge-connected component by its
     smallest vertex. ``cover_level`` is -1 for bridges, 0 for other tree edges, null off the tree:
     the exact levels of a history of insertions.
     """
@@ -40,8 +41,13 @@ class Structure:
     def component_size(self) -> DataFrame:
         return self.comp
 
+    def members(self, vertices: DataFrame) -> DataFrame:
+        """``component_id, member`` once for each component that a vertex asked for is in; ``comp`` says which."""
+        hit = vertices.join(self.comp.select("vertex_id", "component_id"), "vertex_id").select("component_id").distinct()
+        return self.comp.join(hit, "component_id", "left_semi").select("component_id", F.col("vertex_id").alias("member"))
+
     def component_of(self, vertices: DataFrame) -> DataFrame:
-        """``vertex_id, members``: the sorted component of each vertex asked for."""
+        """``vertex_id, members``: the sorted component of each vertex asked for, written out for each; ``members`` does not repeat it."""
         asked = vertices.join(self.comp.select("vertex_id", "component_id"), "vertex_id")
         members = self.comp.join(asked.select("component_id").distinct(), "component_id", "left_semi").groupBy("component_id").agg(F.sort_array(F.collect_list("vertex_id")).alias("members"))
         return asked.join(members, "component_id").select("vertex_id", "members")
@@ -82,7 +88,7 @@ class Structure:
         return self.graph.symmetric().join(self.cover.where("not is_tree").select("edge_id"), "edge_id", "left_semi").select("vertex_id", "edge_id")
 
 
-KIND = "component_id long, vertex_id long, parent long, parent_edge long, depth long, block long, edge_id long, u long, v long, weight long, seq long, is_tree boolean, is_bridge boolean"
+KIND = "component_id long, vertex_id long, parent long, parent_edge long, depth long, block long, tin long, tout long, edge_id long, u long, v long, weight long, seq long, is_tree boolean, is_bridge boolean"
 
 
 def _kernel(table: pa.Table) -> pa.Table:
@@ -132,6 +138,15 @@ def _kernel(table: pa.Table) -> pa.Table:
         least[t] = min(least.get(t, x), x)
     trees = set(tree)
     bridge = {parent[x][1] for x in queue if x != comp and find(x, tops) == x}
+    size = dict.fromkeys(queue, 1)
+    for x in reversed(queue[1:]):
+        size[parent[x][0]] += size[x]
+    tin, free = {comp: 0}, {comp: 1}
+    for x in queue[1:]:
+        p = parent[x][0]
+        tin[x] = free[p]
+        free[p] += size[x]
+        free[x] = tin[x] + 1
     n, m = len(queue), len(rows)
     none_v, none_e = [None] * m, [None] * n
     return pa.table({
@@ -141,61 +156,94 @@ def _kernel(table: pa.Table) -> pa.Table:
         "parent_edge": pa.array([parent[x][1] for x in queue] + none_v, pa.int64()),
         "depth": pa.array([parent[x][2] for x in queue] + none_v, pa.int64()),
         "block": pa.array([least[find(x, tops)] for x in queue] + none_v, pa.int64()),
+        "tin": pa.array([tin[x] for x in queue] + none_v, pa.int64()),
+        "tout": pa.array([tin[x] + size[x] - 1 for x in queue] + none_v, pa.int64()),
         **{c: pa.array(none_e + [r[i] for r in rows], pa.int64()) for c, i in (("edge_id", 1), ("u", 2), ("v", 3), ("weight", 4), ("seq", 0))},
         "is_tree": pa.array(none_e + [r[1] in trees for r in rows], pa.bool_()),
         "is_bridge": pa.array(none_e + [r[1] in bridge for r in rows], pa.bool_()),
     })
 
 
-def _by_rounds(g: Graph, comp: DataFrame, most_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """Forest and cover of components of any size."""
-    edges = materialize(g.edges, "edges")
-    label = comp.select("vertex_id", F.col("vertex_id").alias("c"))
-    tree = None
-    while True:  # Boruvka: the first edge out of every part, by (seq, edge_id)
-        out = edges.join(label.toDF("u", "a"), "u").join(label.toDF("v", "b"), "v").where("a <> b")
-        pick = out.select(F.explode(F.array("a", "b")).alias("c"), F.struct("seq", "edge_id").alias("k")).groupBy("c").agg(F.min("k").alias("k")).select("k.edge_id").distinct()
-        pick = materialize(pick, "picked")
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """``edge_id`` of the minimum spanning forest by (seq, edge_id): Boruvka, on parts contracted after each round."""
+    now = materialize(edges.select("seq", "edge_id", F.col("u").alias("a"), F.col("v").alias("b")), "between")
+    tree = edges.select("edge_id").limit(0)
+    while True:  # the first edge out of every part
+        pick = now.select(F.explode(F.array("a", "b")).alias("c"), F.struct("seq", "edge_id", "a", "b").alias("k")).groupBy("c").agg(F.min("k").alias("k"))
+        pick = materialize(pick.select("k.edge_id", "k.a", "k.b").distinct(), "picked")
         if pick.isEmpty():
-            break
-        tree = pick if tree is None else materialize(tree.union(pick).distinct(), "tree")
-        joined = connected_components(edges.join(tree, "edge_id", "left_semi"))
-        label = materialize(comp.select("vertex_id").join(joined, "vertex_id", "left").select("vertex_id", F.coalesce("component_id", "vertex_id").alias("c")), "labels")
-    tree = pick if tree is None else tree
-    t = edges.join(tree, "edge_id", "left_semi")
-    both = materialize(t.select(F.col("u").alias("parent"), F.col("v").alias("vertex_id"), F.col("edge_id").alias("parent_edge")).union(t.select("v", "u", "edge_id")), "both")
-    front = comp.where("vertex_id = component_id").select("vertex_id", "component_id", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("parent_edge"), F.lit(0).cast("long").alias("depth"))
-    levels = [materialize(front, "level")]
-    for _ in range(most_rounds):
-        f = levels[-1].select(F.col("vertex_id").alias("parent"), "component_id", "depth", F.col("parent_edge").alias("came"))
-        nxt = materialize(both.join(f, "parent").where("came is null or parent_edge <> came").select("vertex_id", "component_id", "parent", "parent_edge", (F.col("depth") + 1).alias("depth")), "level")
-        if nxt.isEmpty():
-            break
-        levels.append(nxt)
-    forest = levels[0]
-    for x in levels[1:]:
-        forest = forest.unionByName(x)
-    forest = materialize(forest, "forest")
-    at = forest.select("vertex_id", "parent", "parent_edge", "depth")
-    walk = materialize(edges.join(tree, "edge_id", "left_anti").select(F.col("u").alias("x"), F.col("v").alias("y")).distinct(), "walk")
-    met = []
-    for _ in range(most_rounds):
-        if walk.isEmpty():
-            break
-        s = walk.join(at.toDF("x", "px", "ex", "dx"), "x").join(at.toDF("y", "py", "ey", "dy"), "y")
-        s = materialize(s.select(
-            F.when(F.col("dx") >= F.col("dy"), F.col("px")).otherwise(F.col("x")).alias("x"), F.when(F.col("dy") >= F.col("dx"), F.col("py")).otherwise(F.col("y")).alias("y"),
-            F.when(F.col("dx") >= F.col("dy"), F.col("ex")).alias("e1"), F.when(F.col("dy") >= F.col("dx"), F.col("ey")).alias("e2")), "climb")
-        met.append(s.select(F.explode(F.array("e1", "e2")).alias("edge_id")).where("edge_id is not null").distinct())
-        walk = s.where("x <> y").select("x", "y").distinct()
-    covered = edges.limit(0).select("edge_id")
-    for x in met:
-        covered = covered.union(x)
-    covered = covered.distinct().withColumn("covered", F.lit(True))
-    cover = materialize(edges.join(tree.withColumn("is_tree", F.lit(True)), "edge_id", "left").join(covered, "edge_id", "left").select(*edges.columns, F.coalesce("is_tree", F.lit(False)).alias("is_tree"), (F.coalesce("is_tree", F.lit(False)) & F.col("covered").isNull()).alias("is_bridge")), "cover")
-    blocks = connected_components(cover.where("not is_bridge"))
+            return materialize(tree, "tree")
+        tree = tree.union(pick.select("edge_id"))
+        part = materialize(connected_components(pick, "a", "b"), "parts")
+        new = now.join(part.toDF("a", "pa"), "a").join(part.toDF("b", "pb"), "b").where("pa <> pb").select("seq", "edge_id", F.col("pa").alias("a"), F.col("pb").alias("b"))
+        before, now = now, materialize(new, "between")
+        discard(before, part)
+
+
+def forest_link(g: Graph, comp: DataFrame, new: DataFrame) -> tuple[Graph, DataFrame]:
+    """A forest with new edges in order of (seq, edge_id), and those refused: self-loops, ends that do not live, edges that close a cycle."""
+    at = comp.select("vertex_id", "component_id")
+    cand = new.select(*g.edges.columns).join(at.toDF("u", "a"), "u", "left").join(at.toDF("v", "b"), "v", "left")
+    cand = materialize(cand, "candidates")
+    between = cand.where("a <> b").select("edge_id", "seq", F.col("a").alias("u"), F.col("b").alias("v"))
+    taken = spanning_forest(between)
+    ok = cand.join(taken, "edge_id", "left_semi").select(*g.edges.columns)
+    return Graph(g.vertices, g.edges.unionByName(ok)), cand.join(taken, "edge_id", "left_anti").select(*g.edges.columns)
+
+
+def euler_tour(tree: DataFrame, comp: DataFrame) -> DataFrame:
+    """``component_id, edge_id, src, dst, pos`` for both directions of every edge of a forest: its place in a tour from the smallest vertex of its tree.
+
+    Directed edges are numbered by (src, edge_id); after x -> y comes the edge that follows y -> x
+    among those out of y, around the corner the first one. Places come from pointer doubling.
+    No vertex's edges are gathered in a task.
+    """
+    arcs = tree.select("edge_id", F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(tree.select("edge_id", F.col("v").alias("src"), F.col("u").alias("dst")))
+    arcs = materialize(with_sequence(arcs, "src", "edge_id", name="k"), "arcs")
+    ends = arcs.groupBy("src").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    twin = arcs.select("edge_id", F.col("src").alias("dst"), F.col("k").alias("twin"))
+    nxt = arcs.join(twin, ["edge_id", "dst"]).join(ends.select(F.col("src").alias("dst"), "first", "last"), "dst")
+    nxt = nxt.withColumn("n", F.when(F.col("twin") == F.col("last"), F.col("first")).otherwise(F.col("twin") + 1))
+    roots = comp.select(F.col("vertex_id").alias("src"), "component_id")
+    heads = arcs.join(roots.where("src = component_id"), "src").groupBy("component_id").agg(F.min("k").alias("head"))
+    nxt = nxt.join(roots, "src").join(heads, "component_id")
+    # d: edges from here to the end of the tour, once n is null
+    now = materialize(nxt.select("k", F.when(F.col("n") != F.col("head"), F.col("n")).alias("n"), F.when(F.col("n") != F.col("head"), 1).otherwise(0).cast("long").alias("d")), "tour")
+    while not now.where("n is not null").isEmpty():
+        far = now.select(F.col("k").alias("n"), F.col("n").alias("n2"), F.col("d").alias("d2"))
+        step = now.where("n is not null").join(far, "n").select("k", F.col("n2").alias("n"), (F.col("d") + F.col("d2")).alias("d"))
+        before, now = now, materialize(now.where("n is null").unionByName(step), "tour")
+        discard(before)
+    size = comp.groupBy("component_id").agg((2 * (F.count("*") - 1) - 1).alias("top"))
+    out = arcs.join(now.select("k", "d"), "k").join(roots, "src").join(size, "component_id")
+    return materialize(out.select("component_id", "edge_id", "src", "dst", (F.col("top") - F.col("d")).alias("pos")), "tour")
+
+
+def _by_rounds(edges: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Forest and cover of components of any size and shape, in a number of rounds logarithmic in their size."""
+    tree = spanning_forest(edges)
+    tour = euler_tour(edges.join(tree, "edge_id", "left_semi"), comp)
+    first = tour.groupBy("component_id", "edge_id").agg(F.min(F.struct("pos", "src", "dst")).alias("down"), F.max("pos").alias("up"))
+    down = materialize(first.select("component_id", F.col("down.dst").alias("vertex_id"), F.col("down.src").alias("parent"), F.col("edge_id").alias("parent_edge"), F.col("down.pos").alias("tin"), F.col("up").alias("tout")), "rooted")
+    # every other edge marks both its ends with 128 hashed bits; those with both ends under a vertex cancel there
+    mark = edges.join(tree, "edge_id", "left_anti").select(F.explode(F.array("u", "v")).alias("vertex_id"), F.xxhash64(F.lit(1), "edge_id").alias("x"), F.xxhash64(F.lit(2), "edge_id", F.hash("edge_id")).alias("y"))
+    mark = mark.groupBy("vertex_id").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    zero = F.lit(0).cast("long")
+    at = down.join(mark, "vertex_id", "left")
+    rows = at.select("component_id", F.col("tin").alias("pos"), F.lit(1).cast("long").alias("step"), F.coalesce("x", zero).alias("x"), F.coalesce("y", zero).alias("y"), F.col("vertex_id"))
+    rows = rows.unionByName(at.select("component_id", F.col("tout").alias("pos"), F.lit(-1).cast("long").alias("step"), zero.alias("x"), zero.alias("y"), F.lit(None).cast("long").alias("vertex_id")))
+    sums = materialize(running_sums(rows, ["component_id", "pos"], {"step": "sum", "x": "xor", "y": "xor"}), "sums")
+    into = sums.where("vertex_id is not null").select("vertex_id", F.col("run_step").alias("depth0"), F.col("run_x").bitwiseXOR(F.col("x")).alias("x0"), F.col("run_y").bitwiseXOR(F.col("y")).alias("y0"))
+    out = sums.where("vertex_id is null").select("component_id", F.col("pos").alias("tout"), F.col("run_x").alias("x1"), F.col("run_y").alias("y1"))
+    full = materialize(down.join(into, "vertex_id").join(out, ["component_id", "tout"]).withColumn("is_bridge", (F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1"))), "rooted")
+    none = F.lit(None).cast("long")
+    roots = comp.where("vertex_id = component_id").select("vertex_id", "component_id", none.alias("parent"), none.alias("parent_edge"), zero.alias("depth"), F.lit(-1).cast("long").alias("tin"), (2 * F.col("size")).cast("long").alias("tout"))
+    forest = full.select("vertex_id", "component_id", "parent", "parent_edge", F.col("depth0").alias("depth"), "tin", "tout").unionByName(roots)
+    flag = full.select(F.col("parent_edge").alias("edge_id"), "is_bridge")
+    cover = materialize(edges.join(flag, "edge_id", "left").select(*edges.columns, F.col("is_bridge").isNotNull().alias("is_tree"), F.coalesce("is_bridge", F.lit(False)).alias("is_bridge")), "cover")
+    blocks = connected_components(cover.where("is_tree and not is_bridge"))
     forest = forest.join(blocks.toDF("vertex_id", "block"), "vertex_id", "left").withColumn("block", F.coalesce("block", "vertex_id"))
-    return forest, cover
+    return materialize(forest, "forest"), cover
 
 
 def derive(g: Graph, most_edges: int = MOST_EDGES) -> Structure:
@@ -207,15 +255,19 @@ def derive(g: Graph, most_edges: int = MOST_EDGES) -> Structure:
     comp = vertices.join(found, "vertex_id", "left").select("vertex_id", F.coalesce("component_id", "vertex_id").alias("component_id"))
     sizes = comp.groupBy("component_id").agg(F.count("*").alias("size"))
     comp = materialize(comp.join(sizes, "component_id").select("vertex_id", "component_id", "size"), "comp")
-    placed = edges.join(comp.select(F.col("vertex_id").alias("u"), "component_id"), "u").select("component_id", *edges.columns)
-    largest = placed.groupBy("component_id").count().agg(F.max("count")).first()[0] or 0
-    if largest > most_edges:
-        forest, cover = _by_rounds(g, comp)
-    else:
-        rows = materialize(placed.groupBy("component_id").applyInArrow(_kernel, KIND), "structure")
-        null = F.lit(None).cast("long")
-        alone = comp.where("size = 1").select("vertex_id", "component_id", null.alias("parent"), null.alias("parent_edge"), F.lit(0).cast("long").alias("depth"), F.col("vertex_id").alias("block"))
-        forest = rows.where("vertex_id is not null").select("vertex_id", "component_id", "parent", "parent_edge", "depth", "block").unionByName(alone)
-        cover = rows.where("edge_id is not null").select("edge_id", "u", "v", "weight", "seq", "is_tree", "is_bridge")
+    placed = materialize(edges.join(comp.select(F.col("vertex_id").alias("u"), "component_id"), "u").select("component_id", *edges.columns), "placed")
+    null = F.lit(None).cast("long")
+    large = materialize(placed.groupBy("component_id").count().where(F.col("count") > most_edges).select("component_id"), "large")
+    small = placed.join(large, "component_id", "left_anti")
+    rows = materialize(small.groupBy("component_id").applyInArrow(_kernel, KIND), "structure")
+    alone = comp.where("size = 1").select("vertex_id", "component_id", null.alias("parent"), null.alias("parent_edge"), F.lit(0).cast("long").alias("depth"), F.col("vertex_id").alias("block"), F.lit(0).cast("long").alias("tin"), F.lit(0).cast("long").alias("tout"))
+    forest = rows.where("vertex_id is not null").select("vertex_id", "component_id", "parent", "parent_edge", "depth", "block", "tin", "tout").unionByName(alone)
+    cover = rows.where("edge_id is not null").select("edge_id", "u", "v", "weight", "seq", "is_tree", "is_bridge")
+    if not large.isEmpty():
+        inside = materialize(placed.join(large, "component_id", "left_semi").select(*edges.columns), "inside")
+        more = _by_rounds(inside, comp.join(large, "component_id", "left_semi"))
+        forest = forest.unionByName(more[0].select(*forest.columns))
+        cover = cover.unionByName(more[1].select(*cover.columns))
+    discard(placed)
     cover = cover.withColumn("cover_level", F.when(F.col("is_bridge"), -1).when(F.col("is_tree"), 0).cast("int"))
     return Structure(g, comp, forest, cover)

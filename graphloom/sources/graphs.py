@@ -8,26 +8,28 @@ from graphloom.operators.graph import Graph, with_sequence
 from graphloom.operators.structure import Structure, derive
 from graphloom.sources.scratch import materialize
 
-_kept: dict[tuple[str, str, str], Structure] = {}
+_kept: dict[tuple, Structure] = {}
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("eid", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
 
 
 def customer_part(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers and the parts on the first line of their orders."""
-    o, l = spark.read.parquet(f"{sf}/orders.parquet"), spark.read.parquet(f"{sf}/lineitem.parquet")
-    j = l.where("l_linenumber = 1").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("eid"), (2 * F.col("o_custkey")).alias("u"), (2 * F.col("l_partkey") + 1).alias("v"), F.col("l_quantity").cast("long").alias("weight"))
+    """Customers and the parts of all lines of their orders."""
+    o, l = spark.read.parquet(f"{sf}/orders.parquet"), _lines(spark, sf)
+    j = l.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.select("eid", (2 * F.col("o_custkey")).alias("u"), (2 * F.col("l_partkey") + 1).alias("v"), F.col("l_quantity").cast("long").alias("weight"))
 
 
 def part_supplier(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts and suppliers of lines of 50 pieces or more."""
-    l = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity >= 50")
-    return l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("eid"), (2 * F.col("l_partkey")).alias("u"), (2 * F.col("l_suppkey") + 1).alias("v"), F.col("l_linenumber").cast("long").alias("weight"))
+    """Parts and suppliers of all lines; many pairs have several."""
+    return _lines(spark, sf).select("eid", (2 * F.col("l_partkey")).alias("u"), (2 * F.col("l_suppkey") + 1).alias("v"), F.col("l_linenumber").cast("long").alias("weight"))
 
 
 def order_part(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders and the parts of their large returned lines: many small components."""
-    l = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity >= 49 and l_returnflag = 'R'")
-    return l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("eid"), (2 * F.col("l_orderkey")).alias("u"), (2 * F.col("l_partkey") + 1).alias("v"), F.col("l_linenumber").cast("long").alias("weight"))
+    """Orders and the parts of all their lines; an order of one line hangs on a bridge."""
+    return _lines(spark, sf).select("eid", (2 * F.col("l_orderkey")).alias("u"), (2 * F.col("l_partkey") + 1).alias("v"), F.col("l_linenumber").cast("long").alias("weight"))
 
 
 def hierarchy(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,17 +45,30 @@ def graph(spark: SparkSession, sf: str, name: str) -> Graph:
     if name == "hierarchy":
         return Graph.of_edges(hierarchy(spark, sf))
     rows = {"customer_part": customer_part, "part_supplier": part_supplier, "order_part": order_part}[name](spark, sf)
-    return Graph.of_edges(with_sequence(rows, "eid", "u", "v").drop("eid"))
+    return Graph.of_edges(with_sequence(rows, "eid", "u", "v", "weight").drop("eid"))
+
+
+def _stamp(spark: SparkSession, sf: str) -> tuple:
+    """Paths, lengths and times of the tables' files: other data, other stamp."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x for n in ("lineitem", "orders", "nation", "region", "customer") for x in (fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{n}.parquet")) or [])]
+    return tuple(sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in found))
 
 
 def structure(spark: SparkSession, sf: str, name: str) -> Structure:
-    """Derived tables of a graph; they are written once and read again by later queries of the session."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    """Derived tables of a graph; they are written once and read again by later queries of the session on the same files."""
+    key = (spark.sparkContext.applicationId, sf, name, _stamp(spark, sf))
     if key not in _kept:
         _kept[key] = derive(graph(spark, sf, name))
     return _kept[key]
 
 
+def forget() -> None:
+    """Later queries derive their graphs anew."""
+    _kept.clear()
+
+
 def write(g: Graph, path: str) -> None:
     g.vertices.write.mode("overwrite").parquet(f"{path}/vertices")
     g.edges.write.mode("overwrite").parquet(f"{path}/edges")
