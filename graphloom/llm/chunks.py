@@ -1,7 +1,7 @@
 """Exchange of packed array data between chunks of texts and buckets of hashes.
 
 Counting every word or window of a corpus as rows costs tens of bytes a row. Here texts are
-first written once as chunks of a few MB. A pass turns a chunk into sorted distinct 64-bit
+first written once as chunks of 384 kB (a longer text is one chunk). A pass turns a chunk into sorted distinct 64-bit
 keys with small payloads and sends each bucket of keys as one binary row; bucket tasks sort
 and reduce all of it in arrays and send back one answer array per chunk and bucket. A key
 that a third of all documents hold is sent once per chunk. Chunks are written in buckets of
@@ -49,7 +49,7 @@ def _chunker(most: int):
     return run
 
 
-def write_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2 << 20) -> DataFrame:
+def write_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3 << 17) -> DataFrame:
     """All rows of ``docs`` as chunks of about ``most`` bytes; a longer text is a chunk of its own."""
     docs = drop_columns_clash(docs, {id_col: "long", text_col: "string"})
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -105,19 +105,12 @@ def bucket_bits(spark) -> int:
 
 
 def _answerer(key_type, load_type, reduce: Callable):
-    def run(batches: Iterator[pa.RecordBatch]):
-        rows: dict[int, list] = {}
-        for batch in batches:
-            for b, c, k, x in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                rows.setdefault(b, []).append((c, np.frombuffer(k, key_type), np.frombuffer(x, load_type)))
-        for b, got in rows.items():
-            keys, load = np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
-            at = np.cumsum([0] + [len(g[1]) for g in got])
-            out = reduce(keys, load)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([g[0] for g in got], pa.int64()), pa.array([b] * len(got), pa.int32()), pa.array([(np.packbits(out[i:j]) if out.dtype == bool else out[i:j]).tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())],
-                names=["chunk", "bucket", "answer"],
-            )
+    def run(table: pa.Table) -> pa.Table:
+        keys, load = ([np.frombuffer(x, t) for x in table[c].to_pylist()] for c, t in (("keys", key_type), ("load", load_type)))
+        at = np.cumsum([0] + [len(k) for k in keys])
+        out = reduce(np.concatenate(keys), np.concatenate(load))
+        got = [(np.packbits(out[i:j]) if out.dtype == bool else out[i:j]).tobytes() for i, j in zip(at[:-1], at[1:])]
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "answer": pa.array(got, pa.binary())})
 
     return run
 
@@ -125,6 +118,6 @@ def _answerer(key_type, load_type, reduce: Callable):
 def answered(blobs: DataFrame, key_type, load_type, reduce: Callable, name: str, bucketed: bool = False) -> DataFrame:
     """Exchange: all blobs of a bucket meet; ``reduce(keys, loads)`` gives one answer for each entry. ``bucketed`` as the chunks are, to join more than once."""
     n = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    got = blobs.repartition(n, "bucket").mapInArrow(_answerer(key_type, load_type, reduce), "chunk long, bucket int, answer binary")
+    got = blobs.groupBy("bucket").applyInArrow(_answerer(key_type, load_type, reduce), "chunk long, bucket int, answer binary")
     got = got.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
     return materialize_bucketed(got, name, "chunk", n) if bucketed else materialize(got, name)

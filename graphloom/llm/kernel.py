@@ -57,7 +57,7 @@ def packed(column) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20):
+def slices(offsets: np.ndarray, most: int = 1 << 20):
     """Ranges of texts of about ``most`` bytes together, one text at least."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -12,8 +12,9 @@ These contexts stay inside a token, so the spelled cost of a token depends on th
 training and scoring run once per distinct token, weighted by its count, in tasks that each
 hold a bucket of tokens. Counts are sums over all training texts. Weights are learned online, a
 small batch of tokens after the other with the token's own occurrence left out of the counts,
-in every bucket over all its tokens; the buckets' weights are averaged by bits seen.
-This part of the model has a fixed size, whatever the corpus.
+in every group over all its tokens; the groups' weights are averaged by bits seen. Groups are
+ranges of the tokens' hashes, as many as the number of distinct tokens asks for, so the model
+is the same whatever the number of partitions. This part of it has a fixed size, whatever the corpus.
 
 A last predictor looks at the token before (at a text's start, the end of another): a bit says
 whether the token is drawn from what followed there in the training texts or is spelled, and
@@ -26,9 +27,7 @@ at most one.
 
 from __future__ import annotations
 
-import ctypes
 import zlib
-from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from graphloom.llm import kernel as K
 from graphloom.llm.chunks import BLOB as PAIRS, answered, bucket_bits, each_chunk, from_answers, to_blobs, write_chunks
-from graphloom.sources.scratch import discard, materialize, materialize_bucketed, release_shuffles
+from graphloom.sources.scratch import discard, materialize, materialize_bucketed
 
 U = K.U
 ORDERS = (1, 2, 3, 5, 0)  # 0: the whole token so far
@@ -55,8 +54,12 @@ PRIOR = 0.4
 END = 0xFF
 PARTS = 8
 END_HASH = K.word_hashes(np.array([END], np.uint8), np.array([0]), np.array([1]))[0]
-#: Counts of pairs as one byte: whole numbers in steps of at most an eighth of a doubling.
-STEPS = np.unique(np.rint(np.exp2(np.arange(300) / 8) - 1))[:256]
+#: Numbers that a byte stands for: eighths of a doubling to 2^16, quarters to 2^48.
+DOUBLINGS = np.concatenate([np.arange(128) / 8, 16 + np.arange(128) / 4])
+#: Counts of pairs as one byte: whole numbers by these steps.
+STEPS = np.unique(np.rint(np.exp2(np.concatenate([np.arange(128) / 8, 16 + np.arange(200) / 4])) - 1))[:256]
+#: Distinct tokens of a group in which weights are learned, about.
+GROUP = 1 << 14
 #: Gates of the token before: doublings of how often it was seen, 0 where never.
 SEEN = 32
 #: Half doublings of how likelier the token before makes a token than its spelling; the first for never.
@@ -107,17 +110,17 @@ def _emitter(bits, fold, out_fold):
 
 
 def distinct(counts: list[bytes], words: list[bytes]):
-    """Distinct tokens of a bucket: bytes, starts, ends, training counts; and the place of every entry among them."""
+    """Distinct tokens of a bucket by their hashes: bytes, starts, ends, training counts; the place of every entry among them; hashes."""
     data = np.frombuffer(b"".join(zlib.decompress(w) for w in words), np.uint8)
     c = np.frombuffer(b"".join(zlib.decompress(x) for x in counts), np.uint32)
     ends = np.flatnonzero(data == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
-    _, at, inverse = np.unique(K.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    return data, starts[at], ends[at], np.bincount(inverse, c, len(at)), inverse
+    keys, at, inverse = np.unique(K.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    return data, starts[at], ends[at], np.bincount(inverse, c, len(at)), inverse, keys
 
 
-def coded(data, starts, ends):
-    """For the tokens' bytes and closing blanks: token, byte, place, and a context hash for each predictor."""
+def coded(data, starts, ends, which=range(P)):
+    """For the tokens' bytes and closing blanks: token, byte, place, and a context hash for each predictor of ``which``."""
     n = ends - starts + 1
     first = np.concatenate([[0], np.cumsum(n)])
     token = np.repeat(np.arange(len(n)), n)
@@ -129,7 +132,7 @@ def coded(data, starts, ends):
         back[k, k + 1 :] = byte[: len(byte) - k - 1]
         back[k][place <= k] = 1
     ctx = []
-    for o in ORDERS:
+    for o in (ORDERS[k] for k in which):
         if o:
             h = np.full(len(byte), U(o * 1000003))
             for k in range(o):
@@ -145,9 +148,9 @@ SPREAD = U(0x9E3779B97F4A7C15)
 NODES = K.mix(np.arange(256, dtype=U) + U(1)) * SPREAD
 
 
-def bit_slots(ctx, byte, b):
+def bit_slots(ctx, byte, b, which=range(P)):
     node = NODES.take((1 << b) | (byte.astype(np.int64) >> (8 - b)))
-    return [((c + node) >> U(64 - s)).view(np.int64) for c, s in zip(ctx, SLOTS)], (byte >> (7 - b)) & 1
+    return [((c + node) >> U(64 - SLOTS[k])).view(np.int64) for c, k in zip(ctx, which)], (byte >> (7 - b)) & 1
 
 
 def batches_of(starts, ends, most: int = 100_000):
@@ -160,47 +163,79 @@ def batches_of(starts, ends, most: int = 100_000):
         i = j
 
 
+COUNTED = "g int, k int, p int, n long, v long, part binary"
+
+
 def _counter(batches):
-    """Sums of a task's buckets: the slots' counts, tokens and distinct tokens."""
-    sums = [np.zeros(2 << s, np.uint32) for s in SLOTS]  # exact to 4e9, where float32 stops at 2^24
-    n = v = 0
+    """Sums of a task's buckets, one predictor after the other: the slots' counts, tokens and distinct tokens."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get().partitionId()
     rows: dict[int, tuple[list, list]] = {}
     for batch in batches:
         for b, c, w in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
             got = rows.setdefault(b, ([], []))
             got[0].append(c)
             got[1].append(w)
-    for c, w in rows.values():
-        data, starts, ends, count, _ = distinct(c, w)
-        seen = count > 0
-        starts, ends, count = starts[seen], ends[seen], count[seen]
-        n, v = n + int(count.sum()), v + len(count)
-        for i, j in batches_of(starts, ends):
-            token, byte, _, ctx = coded(data, starts[i:j], ends[i:j])
-            weight = count[i:j][token].astype(np.uint32)
-            whole = np.where(weight > 1, weight, np.uint32(0))  # a token seen once tells its whole nothing
-            for b in range(8):
-                slots, bit = bit_slots(ctx, byte, b)
-                for k in range(P):
-                    np.add.at(sums[k], slots[k] * 2 + bit, whole if k == WHOLE else weight)
+    held = []
+    for b in list(rows):
+        data, starts, ends, count, *_ = distinct(*rows.pop(b))
+        seen = np.flatnonzero(count)
+        held.append((joined(data, starts[seen], ends[seen]), count[seen].astype(np.uint64)))
+    n, v = sum(int(c.sum()) for _, c in held), sum(len(c) for _, c in held)
     for k in range(P):
-        step = (2 << SLOTS[k]) // PARTS
+        sums = np.zeros(2 << SLOTS[k], np.uint64)
+        for data, count in held:
+            ends = np.flatnonzero(data == 10)
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            if k == WHOLE:
+                count = np.where(count > 1, count, U(0))  # a token seen once tells its whole nothing
+            for i, j in batches_of(starts, ends):
+                token, byte, _, ctx = coded(data, starts[i:j], ends[i:j], (k,))
+                weight = count[i:j][token]
+                for b in range(8):
+                    slots, bit = bit_slots(ctx, byte, b, (k,))
+                    np.add.at(sums, slots[0] * 2 + bit, weight)
+        step = len(sums) // PARTS
         for p in range(PARTS):
-            part = sums[k][p * step : (p + 1) * step]
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([p], pa.int32()), pa.array([n if k == p == 0 else 0]), pa.array([v if k == p == 0 else 0]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["k", "p", "n", "v", "part"])
+            part = zlib.compress(sums[p * step : (p + 1) * step].tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([k], pa.int32()), pa.array([p], pa.int32()), pa.array([n if k == p == 0 else 0]), pa.array([v if k == p == 0 else 0]), pa.array([part], pa.binary())], names=["g", "k", "p", "n", "v", "part"])
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.float64) for x in table["part"].to_pylist())
-    return pa.table({"k": table["k"][:1], "p": table["p"][:1], "n": pa.array([sum(table["n"].to_pylist())]), "v": pa.array([sum(table["v"].to_pylist())]), "part": pa.array([zlib.compress(total.astype(np.float32).tobytes(), 1)], pa.binary())})
+def _summed(last: bool):
+    """Sums of the same part of several tasks; at last as levels."""
 
+    def run(table: pa.Table) -> pa.Table:
+        total = U(0)
+        for x in table["part"]:
+            total = total + np.frombuffer(zlib.decompress(x.as_py()), np.uint64)
+        part = (levels(total) if last else total).tobytes()
+        return pa.table({**{c: table[c][:1] for c in ("g", "k", "p")}, **{c: pa.array([sum(table[c].to_pylist())]) for c in ("n", "v")}, "part": pa.array([zlib.compress(part, 1)], pa.binary())})
 
-#: Counts travel as one byte each, eight steps to a doubling; small ones come back exactly.
-LEVELS = np.rint(np.exp2(np.arange(256) / 8) - 1).astype(np.float32)
+    return run
 
 
-def packed_counts(counts: list[np.ndarray]) -> bytes:
-    return zlib.compress(b"".join(np.minimum(np.rint(8 * np.log2(c + 1)), 255).astype(np.uint8).tobytes() for c in counts), 1)
+def summed_by_tree(parts: DataFrame, fan: int = 16) -> list:
+    """The parts' sums over all tasks, never more than ``fan`` of them in one place."""
+    parts = materialize(parts, "counted")
+    n = (parts.agg(F.max("g")).first()[0] or 0) + 1
+    while n > fan:
+        n = -(-n // fan)
+        before, parts = parts, materialize(parts.withColumn("g", F.col("g") % n).groupBy("g", "k", "p").applyInArrow(_summed(False), COUNTED), "counted")
+        discard(before)
+    got = parts.groupBy("k", "p").applyInArrow(_summed(True), COUNTED).collect()  # 23 MB of levels at most
+    discard(parts)
+    return got
+
+
+#: Counts travel as one byte each; small ones come back exactly.
+LEVELS = np.rint(np.exp2(DOUBLINGS) - 1).astype(np.float64)
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """The level nearest to each count, by doublings."""
+    d = np.log2(counts.astype(np.float64) + 1)
+    return np.minimum(np.where(d < 16, np.rint(8 * d), 128 + np.rint(4 * (d - 16))), 255).astype(np.uint8)
 
 
 @lru_cache(1)
@@ -214,7 +249,7 @@ def _by_levels() -> tuple[np.ndarray, np.ndarray]:
     zero, one = np.tile(LEVELS, 256), np.repeat(LEVELS, 256)
     less = [(zero, one), (np.maximum(zero - 1, 0), one), (zero, np.maximum(one - 1, 0))]
     zero, one = (np.concatenate(x) for x in zip(*less))
-    return np.log((one + np.float32(PRIOR)) / (zero + np.float32(PRIOR))), np.searchsorted(CONFIDENCE, zero + one, "right")
+    return np.log((one + PRIOR) / (zero + PRIOR)).astype(np.float32), np.searchsorted(CONFIDENCE, zero + one, "right")
 
 
 EVIDENCE, SURE = _by_levels()
@@ -290,45 +325,61 @@ class Mixer:
         return out
 
 
-def _learner(counts):
-    def run(table: pa.Table) -> pa.Table:
-        data, starts, ends, count, _ = distinct(table["counts"].to_pylist(), table["words"].to_pylist())
-        some = count > 0
-        m = Mixer(unpacked_counts(counts.value))
-        seen = m.learn(data, starts[some], ends[some], count[some]) if some.any() else 0.0
-        apm = m.apm if m.apm is not None else np.zeros((2, GATES, BINS))
-        return pa.table({"seen": pa.array([seen]), "w": pa.array([m.w.ravel().tolist()]), "apm": pa.array([apm.ravel().tolist()])})
-
-    return run
-
-
 LEARNED = "seen double, w array<double>, apm array<double>"
 
 
-def _weighted(first: bool):
-    """One row a task: bits seen, weights times bits, and the last table's counts, summed."""
+def _learner(counts, bits: int):
+    """Weights and last tables learned in each of the groups that a table of buckets holds; a group is a range of ``bits`` leading bits of the hashes."""
 
-    def run(batches):
-        seen, w, apm = 0.0, np.zeros(GATES * P), np.zeros(2 * GATES * BINS)
-        for batch in batches:
-            for s, x, y in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                seen += s
-                w += np.array(x) * (s if first else 1.0)
-                apm += np.array(y)
-        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([w.tolist()]), pa.array([apm.tolist()])], names=["seen", "w", "apm"])
+    def run(table: pa.Table) -> pa.Table:
+        data, starts, ends, count, _, keys = distinct(table["counts"].to_pylist(), table["words"].to_pylist())
+        group = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(starts), np.int64)
+        out = []
+        for g in np.unique(group):
+            some = (group == g) & (count > 0)
+            m = Mixer(unpacked_counts(counts.value))
+            if some.any():
+                out.append((m.learn(data, starts[some], ends[some], count[some]), m.w.ravel(), m.apm.ravel()))
+        return pa.table({"seen": pa.array([x[0] for x in out], pa.float64()), "w": pa.array([x[1] * x[0] for x in out], pa.list_(pa.float64())), "apm": pa.array([x[2] for x in out], pa.list_(pa.float64()))})
 
     return run
 
 
+def _weighted(batches):
+    """One row a task: bits seen, weights times bits, and the last table's counts, summed."""
+    seen, w, apm = 0.0, np.zeros(GATES * P), np.zeros(2 * GATES * BINS)
+    for batch in batches:
+        for s, x, y in zip(*(batch.column(i) for i in range(3))):
+            seen += s.as_py()
+            w += x.values.to_numpy()
+            apm += y.values.to_numpy()
+    yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([w.tolist()]), pa.array([apm.tolist()])], names=["seen", "w", "apm"])
+
+
+def learned_weights(blobs: DataFrame, sent, bits: int, v: int):
+    """Weights and last table of all groups. A group has ``GROUP`` distinct tokens about, whatever the buckets are."""
+    need = max(0, int(np.ceil(np.log2(max(v, 1) / GROUP))))
+    found = materialize(blobs.groupBy(F.shiftright("bucket", max(bits - need, 0)).alias("group")).applyInArrow(_learner(sent, need), LEARNED), "learned")
+    # a row a task, then few tasks: no task and not the driver sees the rows of all groups
+    n = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = materialize(found.mapInArrow(_weighted, LEARNED), "learned").repartition(min(16, n)).mapInArrow(_weighted, LEARNED).collect()
+    discard(found)
+    seen = sum(r["seen"] for r in few)
+    w = sum((np.array(r["w"]) for r in few), np.zeros(GATES * P)).reshape(GATES, P)
+    apm = sum((np.array(r["apm"]) for r in few), np.zeros(2 * GATES * BINS)).reshape(2, GATES, BINS)
+    # sums in another order differ in their last digits only
+    return (np.round(w / seen, 9) if seen else np.full((GATES, P), 0.3)), apm
+
+
 def _coster(counts, learned):
     def run(table: pa.Table) -> pa.Table:
-        data, starts, ends, count, inverse = distinct(table["counts"].to_pylist(), table["words"].to_pylist())
+        data, starts, ends, count, inverse, _ = distinct(table["counts"].to_pylist(), table["words"].to_pylist())
         cost = Mixer(unpacked_counts(counts.value), *learned).costs(data, starts, ends).astype(np.float32)
         at, out = 0, []
         for x in table["counts"].to_pylist():
             n = len(zlib.decompress(x)) // 4
             i = inverse[at : at + n]
-            out.append(zlib.compress(count[i].astype(np.uint32).tobytes(), 1) + b"")
+            out.append(zlib.compress(count[i].astype(np.uint64).tobytes(), 1))
             out.append(cost[i].tobytes())
             at += n
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "counts": pa.array(out[::2], pa.binary()), "costs": pa.array(out[1::2], pa.binary())})
@@ -346,7 +397,6 @@ def pair_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _pair_emitter(bits, fold, out_fold):
     def run(batches):
-        give_back()
         for chunk, ids, null, raw, off, _ in each_chunk(batches):
             data, starts, ends, first = tokens(raw, off)
             keys, inverse = np.unique(pair_keys(K.word_hashes(data, starts, ends), first), return_inverse=True)
@@ -374,7 +424,7 @@ def with_answers(batches, bits):
             follows = STEPS[from_answers(more[0], pair, bits, np.uint8)][at]
             keys, inverse = np.unique(h, return_inverse=True)
             order = sorted(got)
-            count = np.frombuffer(b"".join(zlib.decompress(got[b][0]) for b in order), np.uint32).astype(np.float64)[inverse]
+            count = np.frombuffer(b"".join(zlib.decompress(got[b][0]) for b in order), np.uint64).astype(np.float64)[inverse]
             cost = np.frombuffer(b"".join(got[b][1] for b in order), np.float32).astype(np.float64)[inverse]
             before = np.empty_like(count)
             before[1:] = count[:-1]
@@ -387,21 +437,10 @@ def seen_gate(before: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log2(np.maximum(before, 0.5))).astype(np.int64) + 1, SEEN - 1)
 
 
-def give_back() -> None:
-    """A worker that counted or scored tokens before holds the model and freed batches no longer."""
-    unpacked_counts.cache_clear()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not every C library has it
-        pass
-
-
 def _gainer(bits, fold, out_fold):
     """How many training tokens fall in each gate and gain, each left out of its counts."""
 
     def run(batches):
-        give_back()
         sums = np.zeros(SEEN * GAINS)
         for ids, null, _, first, _, cost, before, follows in with_answers(batches, bits):
             train = np.repeat(~held_out(ids, null, fold, out_fold), np.diff(first))
@@ -433,7 +472,6 @@ def _finisher(bits, fold, out_fold, n, v, trust):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
     def run(batches):
-        give_back()
         for ids, null, off, first, count, cost, before, follows in with_answers(batches, bits):
             g = trust[seen_gate(before)]
             cost = -np.log2((1 - g) * np.exp2(-np.minimum(cost, 1000)) + g * np.minimum(follows / np.maximum(before, 1), 1)) + np.maximum(cost - 1000, 0) * (follows == 0)
@@ -445,18 +483,6 @@ def _finisher(bits, fold, out_fold, n, v, trust):
     return run
 
 
-@contextmanager
-def few_rows_a_batch(spark, most: int = 2):
-    """Rows are chunks of MBs: batches of the usual 10,000 would hold whole partitions."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, most)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def score_texts(docs: DataFrame, fold: int = 7, out_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for every row.
 
@@ -468,37 +494,26 @@ def score_texts(docs: DataFrame, fold: int = 7, out_fold: int = 2, id_col: str =
     bits = bucket_bits(spark)
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = write_chunks(docs, id_col, text_col)
-    with few_rows_a_batch(spark):
-        blobs = materialize_bucketed(table.mapInArrow(_emitter(bits, fold, out_fold), BLOB).repartition(n_tasks, "bucket"), "tokens", "bucket", n_tasks)
-    few = max(1, n_tasks // 4)
-    parts = blobs.repartition(few, "bucket").mapInArrow(_counter, "k int, p int, n long, v long, part binary")
-    parts = parts.groupBy("k", "p").applyInArrow(_summed, "k int, p int, n long, v long, part binary").collect()
-    counts = [np.zeros(2 << s, np.float32) for s in SLOTS]  # 92 MB, whatever the corpus
+    blobs = materialize_bucketed(table.mapInArrow(_emitter(bits, fold, out_fold), BLOB).repartition(n_tasks, "bucket"), "tokens", "bucket", n_tasks)
+    parts = summed_by_tree(blobs.repartition(max(1, n_tasks // 4), "bucket").mapInArrow(_counter, COUNTED))
+    flat = [np.zeros(2 << s, np.uint8) for s in SLOTS]  # 23 MB, whatever the corpus
     for r in parts:
         step = (2 << SLOTS[r["k"]]) // PARTS
-        counts[r["k"]][r["p"] * step : (r["p"] + 1) * step] = np.frombuffer(zlib.decompress(r["part"]), np.float32)
+        flat[r["k"]][r["p"] * step : (r["p"] + 1) * step] = np.frombuffer(zlib.decompress(r["part"]), np.uint8)
     n, v = sum(r["n"] for r in parts), sum(r["v"] for r in parts)
-    sent = spark.sparkContext.broadcast(packed_counts(counts))  # 23 MB at most
-    learned = blobs.groupBy("bucket").applyInArrow(_learner(sent), LEARNED)
-    # sums weighted by bits seen, first where the buckets were, then in a few tasks
-    few_sums = learned.mapInArrow(_weighted(True), LEARNED).repartition(min(16, n_tasks)).mapInArrow(_weighted(False), LEARNED).collect()
-    seen = sum(r["seen"] for r in few_sums)
-    w = sum((np.array(r["w"]) for r in few_sums), np.zeros(GATES * P)).reshape(GATES, P)
-    w = w / seen if seen else np.full((GATES, P), 0.3)
-    apm = sum((np.array(r["apm"]) for r in few_sums), np.zeros(2 * GATES * BINS)).reshape(2, GATES, BINS)
-    answers = blobs.groupBy("bucket").applyInArrow(_coster(sent, (w, apm)), "chunk long, bucket int, counts binary, costs binary")
+    sent = spark.sparkContext.broadcast(zlib.compress(b"".join(x.tobytes() for x in flat), 1))  # 23 MB at most
+    learned = learned_weights(blobs, sent, bits, v)
+    answers = blobs.groupBy("bucket").applyInArrow(_coster(sent, learned), "chunk long, bucket int, counts binary, costs binary")
     answers = materialize_bucketed(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts", "costs")).alias("answers")), "costs", "chunk", n_tasks)
     discard(blobs)
-    release_shuffles(spark)
-    with few_rows_a_batch(spark):
-        pairs = answered(table.mapInArrow(_pair_emitter(bits, fold, out_fold), PAIRS), np.uint32, np.uint32, _stepped, "pairs", bucketed=True)
-    release_shuffles(spark)
+    pairs = answered(table.mapInArrow(_pair_emitter(bits, fold, out_fold), PAIRS), np.uint32, np.uint32, _stepped, "pairs", bucketed=True)
     known = table.join(answers, "chunk", "left").join(pairs, "chunk", "left")
     cells = np.zeros(SEEN * GAINS)
-    with few_rows_a_batch(spark):
-        for r in known.mapInArrow(_gainer(bits, fold, out_fold), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 4,096 rows at most
-            cells[r["cell"]] = r["n"]
-        return materialize(known.mapInArrow(_finisher(bits, fold, out_fold, n, v, trusted(cells)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"), "scores")
+    for r in known.mapInArrow(_gainer(bits, fold, out_fold), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 4,096 rows at most
+        cells[r["cell"]] = r["n"]
+    out = materialize(known.mapInArrow(_finisher(bits, fold, out_fold, n, v, trusted(cells)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"), "scores")
+    discard(table, answers, pairs)
+    return out
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
