@@ -34,7 +34,7 @@ def spots(text, chain: int = 2):
     words = F.split(F.regexp_replace(marked, f"[^ {MARK}]*{MARK}", ""), " ")
     pairs = heads
     for k in range(1, chain):
-        pairs = F.zip_with(pairs, F.slice(words, k + 1, F.lit(2**31 - 1)), lambda x, y: F.when(x.contains(MARK), F.concat(x, F.lit(" "), F.coalesce(y, F.lit("")))))
+        pairs = F.zip_with(pairs, F.slice(words, k + 1, F.size(words)), lambda x, y: F.when(x.contains(MARK), F.concat(x, F.lit(" "), F.coalesce(y, F.lit("")))))
     # pairs past the end of the heads have no head
     hashed = F.transform(F.filter(pairs, lambda x: F.coalesce(x.contains(MARK), F.lit(False))), lambda x: F.hash(x))
     return F.sort_array(F.array_distinct(hashed))
@@ -49,34 +49,24 @@ def _as_text(sig):
     return F.array_join(F.transform(sig, lambda h: F.lpad(F.lower(F.hex(F.shiftright(F.shiftleft(h.cast("long"), 32), 32).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
-def with_next(docs: DataFrame, bucket: int = 1024) -> DataFrame:
+def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """``doc_id, text, next_text``: the text of the next row in descending ``doc_id``, after the last the first.
 
-    Ids are cut into ranges of about ``bucket`` rows. Inside a range the next row comes from a
-    window; only the range's last row looks outside, at one row per range. Nulls come last;
-    rows with equal ids follow each other in the order of their texts.
+    Rows are dealt to ranges of equal size, however the ids lie. Inside a range the next row comes
+    from a window; only the range's last row looks outside, at one row a range. Nulls come last;
+    rows with equal ids follow each other in the order of their texts, a null text first.
     """
-    lim = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("n")).first()
-    lo, hi, n = lim["lo"] or 0, lim["hi"] or 0, lim["n"] or 1
-    width = max(1, (hi - lo + 1) * bucket // max(n, 1))
-    rows = docs.withColumn("b", F.coalesce(F.floor((F.col("doc_id") - lo) / F.lit(width)), F.lit(-1)).cast("long"))
+    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    w = Window.partitionBy("b").orderBy(*order)
-    # the first row of each range, and the range that comes before it
-    edge = rows.groupBy("b").agg(F.max("doc_id").alias("top")).withColumnRenamed("b", "eb")
-    ring = edge.select(F.col("eb").alias("b"))
-    above = ring.withColumn("g", F.floor(F.col("b") / 4096))
-    tops = above.groupBy("g").agg(F.max("b").alias("first"), F.min("b").alias("last"))
-    ends = tops.withColumn("into", F.lead("first").over(Window.orderBy(F.col("g").desc())))  # one row per 4096 ranges
-    whole = tops.agg(F.max("first").alias("whole"))
-    link = above.withColumn("to", F.lead("b").over(Window.partitionBy("g").orderBy(F.col("b").desc())))
-    link = link.join(ends.select("g", "into"), "g").crossJoin(F.broadcast(whole)).select(F.col("b").alias("from"), F.coalesce("to", "into", "whole").alias("b"))
-    firsts = rows.join(edge, (F.col("b") == F.col("eb")) & F.col("doc_id").eqNullSafe(F.col("top"))).select("b", "text")
-    firsts = firsts.groupBy("b").agg(F.min(F.struct(F.col("text").isNotNull().alias("k"), "text")).alias("f")).select("b", F.col("f.text").alias("first_text"))
-    far = link.join(firsts, "b").select(F.col("from").alias("b"), F.lit(True).alias("is_last"), "first_text")
+    rows = materialize(docs.select("doc_id", "text").repartitionByRange(n, *order).withColumn("p", F.spark_partition_id()), "ranges")
+    first = rows.groupBy("p").agg(F.min_by("text", F.struct(F.col("doc_id").isNull().alias("a"), (-F.col("doc_id").cast("decimal(20,0)")).alias("b"), F.col("text").isNotNull().alias("c"), "text")).alias("t"))
+    ring = Window.orderBy("p")  # a row a range
+    after = materialize(first, "firsts")
+    after = after.withColumn("t", F.struct("t")).select("p", F.coalesce(F.lead("t").over(ring), F.first("t").over(ring)).alias("t")).select(F.col("p").alias("_p"), F.lit(True).alias("_last"), F.col("t.t").alias("_first"))
+    w = Window.partitionBy("p").orderBy(*order)
     inner = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("is_last", F.lead(F.lit(1)).over(w).isNull())
-    out = inner.join(far, ["b", "is_last"], "left")
-    return out.select("doc_id", "text", F.when(F.col("is_last"), F.col("first_text")).otherwise(F.col("next_text")).alias("next_text"))
+    out = inner.join(after, (F.col("p") == F.col("_p")) & (F.col("is_last") == F.col("_last")), "left")
+    return out.select("doc_id", "text", F.when(F.col("is_last"), F.col("_first")).otherwise(F.col("next_text")).alias("next_text"))
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = 2) -> DataFrame:
