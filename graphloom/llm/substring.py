@@ -4,8 +4,8 @@ With the cover {0, 1, 3} modulo 7 any two places i and j have a shift k < 7 for
 j+k are both cover places. Two equal windows of 13 words therefore hold equal anchors of 7
 words at cover places of the same shift. Hashing only the anchors (three of seven places)
 and keeping those that two documents share leaves as candidates every window that can
-repeat; each is then extended to its 13 words, hashed whole, and compared by the smallest
-document that holds it.
+repeat; each is then extended to its 13 words, hashed whole to 128 bits, and compared by the
+smallest document that holds it.
 """
 
 from __future__ import annotations
@@ -36,29 +36,33 @@ def _prepared(data, offsets, window, period):
     return h, first, doc, place, at, K.windows(h, anchor)[at]
 
 
-def _distinct(keys, doc):
-    """Sorted distinct keys, the place of each entry among them, and the smallest and largest doc of each."""
-    order = np.argsort(keys, kind="stable")
+def _distinct(keys, doc, more=None):
+    """Sorted distinct keys (told apart by ``more`` too), their ``more``, the place of each entry among them, and the smallest and largest doc of each."""
+    order = np.argsort(keys, kind="stable") if more is None else np.lexsort((more, keys))
     k = keys[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
+    if more is not None:
+        m = more[order]
+        new[1:] |= m[1:] != m[:-1]
     cut = np.flatnonzero(new)
     inverse = np.empty(len(k), np.int64)
     inverse[order] = np.cumsum(new) - 1
+    other = None if more is None else m[cut]
     if not len(k):
-        return k, inverse, doc[:0], doc[:0]
-    return k[cut], inverse, np.minimum.reduceat(doc[order], cut), np.maximum.reduceat(doc[order], cut)
+        return k, other, inverse, doc[:0], doc[:0]
+    return k[cut], other, inverse, np.minimum.reduceat(doc[order], cut), np.maximum.reduceat(doc[order], cut)
 
 
 def _candidates(h, first, doc, place, at, shared, window, period):
-    """Places of windows that hold a shared anchor, and their hashes."""
+    """Places of windows that hold a shared anchor, and both halves of their hashes."""
     hit = np.zeros(len(h) + 1, np.int64)
     hit[at[shared]] = 1
     run = np.concatenate([[0], np.cumsum(hit)])
     n = np.diff(first)
     places = np.flatnonzero(place + window <= n[doc])
     places = places[run[places + period] > run[places]]
-    return places, K.windows(h, window)[places]
+    return places, K.windows(h, window)[places], K.windows(K.mix(h ^ K.U(0xA0761D6478BD642F)), window)[places]
 
 
 def _anchor_emitter(window, period, bits):
@@ -76,12 +80,17 @@ def _twice(keys, _):
     return counts[inverse] > 1
 
 
-def _smaller(keys, low):
+#: What goes with a window's key: its other 64 bits, and the smallest document of the chunk that holds it.
+HELD = np.dtype([("more", "<u8"), ("low", "<i8")])
+
+
+def _smaller(keys, held):
     """Whether another chunk has the key in a smaller document."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
+    low = held["low"]
+    order = np.lexsort((held["more"], keys))
+    k, m = keys[order], held["more"][order]
     new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
+    new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
     least = np.minimum.reduceat(low[order], np.flatnonzero(new)) if len(k) else low
     out = np.empty(len(k), bool)
     out[order] = least[np.cumsum(new) - 1] < low[order]
@@ -90,7 +99,7 @@ def _smaller(keys, low):
 
 def _windows_of(chunk, data, off, shared_bits, window, period, bits):
     h, first, doc, place, at, keys = _prepared(data, off, window, period)
-    k, inverse, lo, hi = _distinct(keys, doc[at])
+    k, _, inverse, lo, hi = _distinct(keys, doc[at])
     shared = ((lo < hi) | from_answers(shared_bits, k, bits, None, True))[inverse]
     return first, doc, *_candidates(h, first, doc, place, at, shared, window, period)
 
@@ -98,9 +107,11 @@ def _windows_of(chunk, data, off, shared_bits, window, period, bits):
 def _window_emitter(window, period, bits):
     def run(batches):
         for chunk, ids, _, data, off, (shared,) in each_chunk(batches):
-            _, doc, places, keys = _windows_of(chunk, data, off, shared, window, period, bits)
-            k, _, lo, _ = _distinct(keys, ids[doc[places]])
-            yield to_blobs(chunk, k, lo, bits, False)
+            _, doc, places, keys, more = _windows_of(chunk, data, off, shared, window, period, bits)
+            k, more, _, lo, _ = _distinct(keys, ids[doc[places]], more)
+            held = np.empty(len(k), HELD)
+            held["more"], held["low"] = more, lo
+            yield to_blobs(chunk, k, held, bits, False)
 
     return run
 
@@ -110,9 +121,9 @@ def _finisher(window, period, bits, with_text):
 
     def run(batches):
         for chunk, ids, null, data, off, (shared, smaller) in each_chunk(batches):
-            first, doc, places, keys = _windows_of(chunk, data, off, shared, window, period, bits)
+            first, doc, places, keys, more = _windows_of(chunk, data, off, shared, window, period, bits)
             own = ids[doc[places]]
-            k, inverse, lo, _ = _distinct(keys, own)
+            k, _, inverse, lo, _ = _distinct(keys, own, more)
             gone = places[((lo[inverse] < own) | from_answers(smaller, k, bits, None, True)[inverse]) & ~null[doc[places]]]
             edge = np.zeros(first[-1] + 1, np.int64)
             np.add.at(edge, gone, 1)
@@ -147,7 +158,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = write_chunks(docs, id_col, text_col)
     shared = answered(table.mapInArrow(_anchor_emitter(window, period, bits), BLOB), np.uint32, np.uint8, _twice, "shared")
     one = table.join(shared, "chunk", "left")
-    smaller = answered(one.mapInArrow(_window_emitter(window, period, bits), BLOB), np.uint64, np.int64, _smaller, "smaller")
+    smaller = answered(one.mapInArrow(_window_emitter(window, period, bits), BLOB), np.uint64, HELD, _smaller, "smaller")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
     return one.join(smaller, "chunk", "left").mapInArrow(_finisher(window, period, bits, with_text), out)
 
