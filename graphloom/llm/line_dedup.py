@@ -1,8 +1,10 @@
 """Near-duplicate lines by a deletion-neighbourhood join, in DataFrame functions only.
 
-Two lines match when one edit of a character or none turns one into the other. A line goes
-when a line at an earlier place (document id, then line number) matches it; matches are judged
-on the input.
+Two lines match when they are equal and not blank, or when both have ``least`` characters or
+more and one edit of a character turns one into the other (in shorter lines one character is
+most of what they say: list numbers, names). A line goes when a line at an earlier place
+(document id, then line number) matches it; matches are judged on the input. Blank lines, empty
+or of white space only, never go.
 
 Two lines one edit apart agree before and after a window that holds the edit. So:
 
@@ -22,34 +24,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.sources.scratch import drop_columns_clash, materialize
+from graphloom.sources.scratch import by_position, drop_columns_clash, materialize
 
 PIECES = 16
 LAST = 2**63 - 1
+#: A line that is not blank.
+FULL = r"[^\x20\x09-\x0D]"
 
 
-def lines_of(docs: DataFrame, least: int, copies: int | None = None) -> DataFrame:
-    """``doc, th, line_no, line``: the lines of at least ``least`` characters, with ``copies`` also those of as many that are not blank; a null id stands after all others."""
+def lines_of(docs: DataFrame, least: int) -> DataFrame:
+    """``doc, th, line_no, line``: the lines of at least ``least`` characters that are not blank; a null id stands after all others."""
     cols = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    long = F.char_length("line") >= least
-    return cols.where(long if copies is None else long | ((F.char_length("line") >= copies) & F.col("line").rlike(r"\S")))
+    return cols.where((F.char_length("line") >= least) & F.col("line").rlike(FULL))
 
 
-def repeated_lines(docs: DataFrame, least: int = 20, edits: int = 1, copies: int | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, least: int = 20, edits: int = 1, copies: int = 1) -> DataFrame:
     """``doc, th, gone``: for each document with repeated lines, the numbers of these lines."""
-    seen = lines_of(docs, least, copies)
+    if edits not in (0, 1):
+        raise ValueError(f"edits is 0 or 1, not {edits}")
+    seen = lines_of(docs, min(least, copies) if edits else copies)
     pos = F.struct("doc", "line_no")
     h = [F.xxhash64("line").alias("h1"), F.hash("line").alias("h2")]
     # exact copies: one row a distinct line
-    placed = seen.select(*h, "doc", "line_no", "th")
-    firsts = placed.groupBy("h1", "h2").agg(F.min(pos).alias("first"), F.count("*").alias("copies"))
+    placed = seen.select(*h, "doc", "line_no", "th", (F.char_length("line") >= copies).alias("whole"))
+    firsts = placed.groupBy("h1", "h2").agg(F.min(pos).alias("first"), F.count("*").alias("copies"), F.first("whole").alias("whole"))
     firsts = materialize(firsts, "lines")
-    near = _near(docs, firsts, least) if edits else None
-    marks = firsts.where("copies > 1").select("h1", "h2", "first", F.lit(False).alias("near"))
-    if near is not None:
+    marks = firsts.where("copies > 1 and whole").select("h1", "h2", "first", F.lit(False).alias("near"))
+    if edits:
+        near = _near(docs, firsts, least)
         marks = marks.unionByName(near.join(firsts, ["h1", "h2"]).select("h1", "h2", "first", F.lit(True).alias("near")))
     marks = marks.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("near").alias("near"))
-    gone = placed.join(marks, ["h1", "h2"]).where(F.col("near") | (pos > F.col("first")))
+    gone = placed.drop("whole").join(marks, ["h1", "h2"]).where(F.col("near") | (pos > F.col("first")))
     return gone.groupBy("doc", "th").agg(F.collect_set("line_no").alias("gone"))
 
 
@@ -95,14 +100,13 @@ def _near(docs: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
     return checked.select("h1", "h2").distinct()
 
 
-def dedup_lines(docs: DataFrame, least: int = 20, edits: int = 1, id_col: str = "doc_id", text_col: str = "text", copies: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 20, edits: int = 1, id_col: str = "doc_id", text_col: str = "text", copies: int = 1) -> DataFrame:
     """``doc_id, text, n_lines, n_removed`` for every row, ``text`` without its repeated lines.
 
-    Lines are parts between line feeds. Lines shorter than ``least`` characters take no part,
-    but with ``copies`` exact copies of lines that are not blank go from so many characters on.
-    ``edits`` is 0 (copies only) or 1. Rows with equal ids and texts are one document, so they
-    remove nothing from each other; a row without an id stands after all others. A null text
-    stays null and has no lines.
+    Lines are parts between line feeds. Copies go of lines of ``copies`` characters or more, and
+    with ``edits`` = 1 (0: copies only) lines one edit apart of ``least`` characters or more. Blank
+    lines stay. Rows with equal ids and texts are one document, so they remove nothing from each
+    other; a row without an id stands after all others. A null text stays null and has no lines.
     """
     docs = drop_columns_clash(docs, {id_col: "long", text_col: "string"}).toDF("doc_id", "text")
     gone = repeated_lines(docs, least, edits, copies)
@@ -112,25 +116,30 @@ def dedup_lines(docs: DataFrame, least: int = 20, edits: int = 1, id_col: str =
     return out.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
 
 
-def without_repeated_lines(docs: DataFrame, least: int = 20, edits: int = 1, copies: int | None = None) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least: int = 20, edits: int = 1, copies: int = 1) -> DataFrame:
     """The rows of ``docs`` with all columns, ``text`` without its repeated lines and ``n_chars`` to match.
 
-    A row that lost lines and has no text but white space left goes.
+    A row that lost lines and has no text but white space left goes. Columns are told by place, so
+    others may have any name.
     """
-    gone = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least, edits, copies)
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_th", F.xxhash64("text"))
+    flat, at = by_position(docs)
+    text, id_ = at["text"], F.col(at["doc_id"]).cast("long")
+    gone = repeated_lines(flat.select(id_.alias("doc_id"), F.col(text).alias("text")), least, edits, copies)
+    keyed = flat.withColumn("_doc", F.coalesce(id_, F.lit(LAST))).withColumn("_th", F.xxhash64(text))
     out = keyed.join(gone.toDF("_doc", "_th", "_gone"), ["_doc", "_th"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.where(F.col("_gone").isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    out = out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
+    if "n_chars" in at:
+        kind = dict(flat.dtypes)[at["n_chars"]]
+        out = out.withColumn(at["n_chars"], F.when(F.col("_gone").isNull(), F.col(at["n_chars"])).otherwise(F.char_length(text).cast(kind)))
+    return out.where(F.col("_gone").isNull() | F.col(text).rlike(FULL)).select(*flat.columns).toDF(*docs.columns)
 
 
 OP5_SQL = """
 with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) no, unnest(string_split(text, chr(10))) line from documents),
-k as (select * from l where length(line) >= 20),
-f as (select line, min(row(doc_id, no)) pos, length(line)::int n from k group by 1),
+k as (select * from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+ff as (select line, min(row(doc_id, no)) pos, length(line)::int n from k group by 1),
+f as (select * from ff where n >= 20),
 p as (
   select a.line x, b.line y, a.pos px, b.pos py, a.n from f a join f b on a.n=b.n and a.line<>b.line and substr(a.line,1,a.n//2)=substr(b.line,1,a.n//2)
   union select a.line, b.line, a.pos, b.pos, a.n from f a join f b on a.n=b.n and a.line<>b.line and right(a.line,a.n//2)=right(b.line,a.n//2)
@@ -140,7 +149,7 @@ c as (select * from p where case when length(x)=length(y)
   then len(list_filter(range(1,n+1), lambda i: substr(x,i::int,1)<>substr(y,i::int,1)))=1
   else len(list_filter(range(1,n+1), lambda i: substr(x,1,i::int-1)||substr(x,i::int+1)=y))>0 end),
 near as (select distinct case when px>py then x else y end line from c),
-g as (select k.doc_id, k.no from k join f using(line) left join near using(line) where row(k.doc_id,k.no)>f.pos or near.line is not null)
+g as (select k.doc_id, k.no from k join ff f using(line) left join near using(line) where row(k.doc_id,k.no)>f.pos or near.line is not null)
 select d.doc_id, case when d.text is null then null when bool_or(g.no is not null) then coalesce(string_agg(l.line, chr(10) order by l.no) filter (where g.no is null), '') else d.text end as text,
   count(l.no) n_lines, count(g.no) n_removed
 from documents d left join l using(doc_id) left join g on g.doc_id=l.doc_id and g.no=l.no group by d.doc_id, d.text
