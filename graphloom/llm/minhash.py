@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from graphloom.llm import kernel as K
 from graphloom.operators.components import connected_components
-from graphloom.sources.scratch import drop_columns_clash, materialize
+from graphloom.sources.scratch import by_position, drop_columns_clash, materialize
 
 U = K.U
 
@@ -249,9 +249,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose id stands for its component, with all columns; rows without id stay."""
-    kept = near_duplicates(docs.select("doc_id", "text"), **how).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` whose id stands for its component, with all columns; rows without id stay. Columns are told by place, so others may have any name."""
+    flat, at = by_position(docs)
+    id_ = F.col(at["doc_id"]).cast("long")
+    kept = near_duplicates(flat.select(id_.alias("doc_id"), F.col(at["text"]).alias("text")), **how).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return flat.join(kept, id_ == F.col("_id"), "left_semi").unionByName(flat.where(id_.isNull())).toDF(*docs.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

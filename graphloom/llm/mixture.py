@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.sources.scratch import materialize
+from graphloom.sources.scratch import by_position, materialize
 
 CHUNK = 32.0
 TERMS = 128
@@ -51,32 +51,45 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, t
     return r.select("source", "n", "rate", "draws", cdf.alias("cdf"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 20, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """Each row of ``docs`` as often as it is drawn, with ``copy`` (1..copies), ``copies`` and ``order_key``, in a global random order.
-
-    Rows with equal ids draw equal counts; a null id draws as the empty one. A row drawn 0 times
-    goes. The order: rows are dealt to partitions by the hash of ``order_key`` and sorted by it
-    in each, so any prefix of the files is a random sample of the mixture.
-    """
+def _mixed(docs: DataFrame, weights, total, seed, id_col, source_col) -> DataFrame:
+    """Columns of ``docs`` by place (``_d0, _d1, ...``) with ``_copy, _copies, _key``, dealt and sorted by the key."""
     spark = docs.sparkSession
-    kept = [c for c in dict.fromkeys(docs.columns) if c.lower() not in ("copy", "copies", "order_key")]
-    flat = docs.toDF(*[f"_d{i}" for i in range(len(docs.columns))])
-    where = {c: f"_d{docs.columns.index(c)}" for c in kept}
-    rates = materialize(repetition_rates(flat, weights, total, where[source_col]), "rates")
+    flat, at = by_position(docs)
+    rates = materialize(repetition_rates(flat, weights, total, at[source_col]), "rates")
     if rates.count() <= FEW:
         rates = F.broadcast(rates)
-    key = F.coalesce(F.col(where[id_col]).cast("string"), F.lit(""))
-    rows = flat.join(rates.withColumnRenamed("source", "_source").select("_source", "draws", "cdf"), F.col(where[source_col]).eqNullSafe(F.col("_source")))
+    key = F.coalesce(F.col(at[id_col]).cast("string"), F.lit(""))
+    rows = flat.join(rates.select(F.col("source").alias("_source"), F.col("draws").alias("_draws"), F.col("cdf").alias("_cdf")), F.col(at[source_col]).eqNullSafe(F.col("_source")))
     drawn = F.aggregate(
-        F.transform(F.sequence(F.lit(0), F.col("draws") - 1), lambda i: _uniform(F.lit(str(seed)), key, i.cast("string"))),
+        F.transform(F.sequence(F.lit(0), F.col("_draws") - 1), lambda i: _uniform(F.lit(str(seed)), key, i.cast("string"))),
         F.lit(0),
-        lambda n, u: n + F.size(F.filter(F.col("cdf"), lambda c: c <= u)),
+        lambda n, u: n + F.size(F.filter(F.col("_cdf"), lambda c: c <= u)),
     )
-    rows = rows.withColumn("copies", drawn).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}o"), key, F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    out = rows.select(*[F.col(where[c]).alias(c) for c in kept], "copy", "copies", order.alias("order_key"))
+    rows = rows.withColumn("_copies", drawn).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}o"), key, F.col("_copy").cast("string"))), 1, 15), 16, 10).cast("long")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(n, "order_key").sortWithinPartitions("order_key")
+    out = rows.select(*flat.columns, "_copy", "_copies", order.alias("_key"))
+    return out.repartition(n, "_key").sortWithinPartitions("_key")
+
+
+def mix_rows(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 20, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """Each row of ``docs`` as often as it is drawn, with its own columns only, whatever their names."""
+    out = _mixed(docs, weights, total, seed, id_col, source_col)
+    return out.drop("_copy", "_copies", "_key").toDF(*docs.columns)
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 20, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """Each row of ``docs`` as often as it is drawn, with ``copy`` (1..copies), ``copies`` and ``order_key``, in a global random order.
+
+    Rows with equal ids draw equal counts; a null id draws as the empty one, a null source is a
+    source. A row drawn 0 times goes; an empty table gives an empty one. The order: rows are dealt
+    to partitions by the hash of ``order_key`` and sorted by it in each, so any prefix of the files
+    is a random sample of the mixture. Columns of ``docs`` with the names of the three new ones are
+    left out; of columns of one name the first stays.
+    """
+    out = _mixed(docs, weights, total, seed, id_col, source_col)
+    at = by_position(docs)[1]
+    return out.select(*[F.col(d).alias(c) for c, d in at.items() if c.lower() not in ("copy", "copies", "order_key")], F.col("_copy").alias("copy"), F.col("_copies").alias("copies"), F.col("_key").alias("order_key"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

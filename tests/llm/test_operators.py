@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, copies int, Gone string"
 rng = random.Random(7)
@@ -146,17 +147,22 @@ def test_line_dedup(docs, nothing):
         a, b = sorted((a, b), key=len, reverse=True)
         return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
 
-    places = sorted({(r[0] if r[0] is not None else 2**63, t, k, x) for r in ROWS for t in [r[1]] if t is not None for k, x in enumerate(t.split("\n")) if len(x) >= 20}, key=lambda p: (p[0], p[2]))
+    def match(a, b):
+        return bool(re.search(r"[^\x20\x09-\x0D]", b)) and (a == b or min(len(a), len(b)) >= 20 and near(a, b))
+
+    places = sorted({(r[0] if r[0] is not None else 2**63, t, k, x) for r in ROWS for t in [r[1]] if t is not None for k, x in enumerate(t.split("\n"))}, key=lambda p: (p[0], p[2]))
     want = Counter()
     for i, t, *_ in ROWS:
         if t is None:
             want[(i, None)] += 1
             continue
         at = i if i is not None else 2**63
-        out = [x for k, x in enumerate(t.split("\n")) if len(x) < 20 or not any((p[0], p[2]) < (at, k) and near(p[3], x) for p in places)]
+        out = [x for k, x in enumerate(t.split("\n")) if not any((p[0], p[2]) < (at, k) and match(p[3], x) for p in places)]
         want[(i, "\n".join(out))] += 1
     assert Counter((r.doc_id, r.text) for r in dedup_lines(docs).collect()) == want
     assert dedup_lines(nothing).count() == 0 and without_repeated_lines(docs).columns == docs.columns
+    with pytest.raises(ValueError):
+        dedup_lines(docs, edits=2)
 
 
 def test_mixture(docs, nothing, spark):
@@ -169,8 +175,24 @@ def test_mixture(docs, nothing, spark):
     one = spark.createDataFrame([(5, "x")], "doc_id long, source string")
     m = mix_sources(one, {"x": 1.0}, total=500.0).count()
     assert abs(m - 500) < 5 * math.sqrt(500)
-    out = mix_sources(docs)
-    assert {"copy", "copies", "order_key", "Gone"} <= set(out.columns) and out.count() >= 0
+    out = mix_sources(docs, total=200.0)
+    assert {"copy", "copies", "order_key", "Gone"} <= set(out.columns) and "score" in out.columns
+    rates, drawn = {}, Counter()
+    for r in ROWS:
+        rates[r[3]] = rates.get(r[3], 0) + 1
+    for i, t, lang, source, *_ in ROWS:  # by brute force: equal ids draw equally, a null id as the empty one
+        m = 200 / len(rates) / rates[source]
+        draws = max(1, math.ceil(m / 32))
+        for d in range(draws):
+            u = int(hashlib.md5(f"20:{'' if i is None else i}:{d}".encode()).hexdigest()[:13], 16) / 2**52
+            p = c = math.exp(-m / draws)
+            k = 0
+            while c <= u and k < 128:
+                k += 1
+                p *= m / draws / k
+                c += p
+            drawn[(i, t, source)] += k
+    assert Counter((r.doc_id, r.text, r.source) for r in out.collect()) == +drawn
     assert mix_sources(nothing).count() == 0
 
 
@@ -229,7 +251,9 @@ def test_spotsigs(docs, nothing):
     texts = [t for _, t in rows]
     want = Counter((i, t, texts[(k + 1) % len(texts)]) for k, (i, t) in enumerate(rows))
     plain = docs.selectExpr("doc_id", "coalesce(text, '') text")
-    assert Counter(tuple(r) for r in with_next(plain, bucket=2).collect()) == want
+    assert Counter(tuple(r) for r in with_next(plain, parts=3).collect()) == want
+    far = docs.sparkSession.createDataFrame([(2**63 - 1, "x"), (-(2**63), "y"), (0, "z")], "doc_id long, text string")
+    assert {(r.text, r.next_text) for r in with_next(far).collect()} == {("x", "z"), ("z", "y"), ("y", "x")}
     sig = {(r.doc_id, r.n_chars): tuple(r.sig) for r in fingerprint(docs).collect()}
     assert sig[(1, len(BASE))] == sig[(2, len(BASE))] and sig[(5, 0)] == sig[(6, 0)]
     base = [rng.sample(range(1000), rng.randrange(3, 40)) for _ in range(6)]
@@ -243,6 +267,49 @@ def test_spotsigs(docs, nothing):
     assert with_next(plain.limit(0)).count() == 0 and fingerprint(nothing).count() == 0
 
 
+def chroma_brute(rows, every=20):
+    """Every query against every other recording, over all keys they share."""
+    from graphloom.llm import chroma as C
+
+    def keys(a, b, step):
+        k = [(int(x) << 32) | int(b[min(i + C.GAP, len(b) - 1)]) for i, x in enumerate(a)][::step]
+        return [(x, i * step) for i, x in enumerate(k) if i == 0 or x != k[i - 1]]
+
+    made = {i: np.frombuffer(x, np.uint8) for i, x in rows}
+    codes = {i: C.fingerprint(x, 2000) for i, x in made.items()}
+    out = {}
+    for q in (i for i in made if i % every == 0 and len(made[i])):
+        phases = C.phases_of(made[q], 2000)
+        asked = [(k, at * C.HOP + p * C.HOP // C.PHASES) for p, (c, t) in enumerate(phases) for a in (c, t) for b in (c, t) for k, at in keys(a, b, 1)]
+        for r in made:
+            if r == q or not len(made[r]):
+                continue
+            where = {}
+            for key, k in keys(codes[r], codes[r], 2):
+                where.setdefault(key, []).append(k)
+            votes = Counter(k * C.HOP - place for key, place in asked for k in where.get(key, ()))
+            if not votes:
+                continue
+            off, n = max(votes.items(), key=lambda v: (v[1], -abs(v[0]), v[0]))
+            phase = -off % C.HOP
+            x, shift = phases[phase * C.PHASES // C.HOP][0], (off + phase) // C.HOP
+            both = [(int(x[i]), int(codes[r][i + shift])) for i in range(len(x)) if 0 <= i + shift < len(codes[r])]
+            if both:
+                out[(q, r)] = (off, n, round(sum(bin(a ^ b).count("1") for a, b in both) / 32 / len(both), 9))
+    return out
+
+
+def test_alignments_against_brute_force(spark):
+    from graphloom.llm import chroma as C
+
+    texts = [prose(60 + 20 * k).encode() for k in range(12)]
+    rows = [(20 * k, t) for k, t in enumerate(texts)] + [(20 * k + 1, t[137 + 9 * k :] if k % 2 else t[: len(t) // 2] + b"other words " + t[len(t) // 2 :]) for k, t in enumerate(texts)]
+    made = C.fingerprints(spark.createDataFrame(rows, "rec long, pcm binary"), "rec", "pcm", every=20).cache()
+    got = C.alignments(made.select("rec", "codes"), made.where("phases is not null").select(F.col("rec").alias("q"), "phases"), 1.0).collect()
+    want = chroma_brute(rows)
+    assert {(g.q, g.r): (g.offset, g.votes, round(g.errors, 9)) for g in got} == want and len(want) >= 8
+
+
 def test_chroma(spark, nothing):
     from graphloom.llm.chroma import fingerprint, search_recordings
 
@@ -251,29 +318,32 @@ def test_chroma(spark, nothing):
     tune = (128 + 60 * np.sin(2 * np.pi * 110 * 2 ** (notes / 12) * np.arange(len(notes)) / 2000)).astype(np.uint8)
     noisy = np.clip(tune.astype(int) + r.integers(-8, 9, len(tune)), 0, 255).astype(np.uint8)[128 * 20 :]
     other = r.integers(0, 256, 30000).astype(np.uint8)
-    rows = [(20, tune.tobytes()), (21, noisy.tobytes()), (22, other.tobytes()), (23, tune.tobytes()), (24, None), (25, b""), (None, b"abc"), (40, b"x")]
+    rows = [(20, tune.tobytes()), (21, noisy.tobytes()), (22, other.tobytes()), (23, tune.tobytes()), (24, None), (25, b""), (None, b"abc"), (40, b"x"), (60, b""), (80, other.tobytes()), (80, other.tobytes())]
     got = {x.doc_id: x for x in search_recordings(spark.createDataFrame(rows, "doc_id long, pcm binary"), "doc_id", "pcm").collect()}
-    assert len(got) == len(rows) and got[20].n_aligned == 2 and got[20].class_id == got[23].class_id == 20
-    assert got[24].n_codes == got[25].n_codes == 0 and got[22].n_aligned is None and got[40].n_aligned == 0
-    a, b = fingerprint(tune, 2000)[20:], fingerprint(noisy, 2000)
-    assert np.mean([bin(int(p ^ q)).count("1") for p, q in zip(a, b)]) / 32 < 0.05
+    assert len(got) == len({i for i, _ in rows}) and got[20].n_aligned == 2 and got[20].class_id == got[21].class_id == got[23].class_id == 20
+    assert got[24].n_codes == got[25].n_codes == got[60].n_codes == 0 and got[22].n_aligned is None and got[40].n_aligned == 0 and got[60].class_id is None
+    assert got[80].n_aligned == 1 and got[80].best_id == 22 and got[22].class_id == got[80].class_id == 22
+    a, b = fingerprint(tune, 2000)[80:], fingerprint(noisy, 2000)
+    assert np.mean([bin(int(p ^ q)).count("1") for p, q in zip(a, b)]) / 32 < 0.1
     assert search_recordings(nothing.selectExpr("doc_id", "cast(text as binary) pcm"), "doc_id", "pcm").count() == 0
 
 
-def test_votes_of_runs():
-    """Against a count over every pair of equal integers."""
-    from graphloom.llm.chroma import best_offset
-
-    def runs(x):
-        at = [i for i in range(len(x)) if i == 0 or x[i] != x[i - 1]]
-        return [(x[i], i, j - i) for i, j in zip(at, at[1:] + [len(x)])]
+def test_recall_of_the_search(spark):
+    """Recordings cut at any sample, with a word changed, or with noise of two steps: nine in ten or more are found."""
+    from graphloom.llm.chroma import search_recordings
 
-    for _ in range(200):
-        a, b = ([rng.randrange(3) for _ in range(rng.randrange(1, 25))] for _ in "ab")
-        votes = Counter(j - i for i in range(len(a)) for j in range(len(b)) if a[i] == b[j])
-        pairs = [(i, n, j, m) for x, i, n in runs(a) for y, j, m in runs(b) if x == y]
-        if pairs:
-            assert best_offset(*np.array(pairs).T) == max(((o, v) for o, v in votes.items()), key=lambda p: (p[1], -abs(p[0]), p[0]))
+    r = np.random.default_rng(3)
+    rows, pairs = [], {"cut": [], "word": [], "noise": []}
+    for k in range(90):
+        t = " ".join("".join(chr(97 + c) for c in r.integers(0, 26, r.integers(2, 9))) for _ in range(120 + k)).encode()
+        w = t.split(b" ")
+        w[int(r.integers(len(w)))] = b"changed"
+        kind, other = (("cut", t[int(r.integers(5, 200)) :]), ("word", b" ".join(w)), ("noise", np.clip(np.frombuffer(t, np.uint8).astype(int) + r.integers(-2, 3, len(t)), 0, 255).astype(np.uint8).tobytes()))[k % 3]
+        rows += [(20 * k, t), (20 * k + 1, other)]
+        pairs[kind].append(20 * k)
+    got = {x.doc_id: x for x in search_recordings(spark.createDataFrame(rows, "doc_id long, pcm binary"), "doc_id", "pcm").collect()}
+    for kind, ids in pairs.items():
+        assert sum(got[i].class_id == got[i + 1].class_id == i for i in ids) >= 0.9 * len(ids), kind
 
 
 def test_pair_counts_and_their_gates(docs):
@@ -345,39 +415,11 @@ def test_pipeline_drops_copies_of_short_lines(spark):
     assert {tuple(r) for r in got.collect()} == {(1, "Ietzte.\n\nx\n  \n\nIetzten.", 23), (2, "  \nnew", 6), (4, rows[3][1], 26), (5, "{", 1)}
 
 
-def test_alignments_by_codes_one_bit_apart(spark):
-    """Against votes of every pair of integers at one bit or none."""
-    from graphloom.llm.chroma import alignments
-
-    r = random.Random(3)
-    bits = lambda x, y: bin(x ^ y).count("1")
-    recs = {}
-    for k in range(12):
-        base = [r.getrandbits(32) for _ in range(r.choice([1, 1, 2, 9]))]
-        for j in range(4):
-            recs[10 * k + j] = [x ^ (1 << r.randrange(32)) if j else x for x in base]
-    want = {}
-    for q, x in recs.items():
-        for i, y in recs.items():
-            votes = Counter(b - a for a in range(len(x)) for b in range(len(y)) if bits(x[a], y[b]) <= 1)
-            if q % 10 or q == i or not votes:
-                continue
-            at, n = max(votes.items(), key=lambda p: (p[1], -abs(p[0]), p[0]))
-            over = [(x[a], y[a + at]) for a in range(len(x)) if 0 <= a + at < len(y)]
-            errors = sum(bits(*p) for p in over) / 32 / len(over)
-            if (n >= 2 or min(len(x), len(y)) <= 3) and errors <= 0.3:
-                want[(q, i)] = (at, n, round(errors, 9))
-    rows = [(i, np.array(x, np.uint32).view(np.int32).tolist()) for i, x in recs.items()]
-    codes = spark.createDataFrame(rows, "rec long, codes array<int>")
-    got = alignments(codes, codes.where("rec % 10 = 0").selectExpr("rec q")).collect()
-    assert len(want) >= 36 and {(g.q, g.r): (g.offset, g.votes, round(g.errors, 9)) for g in got} == want
-
-
 def test_recordings_of_the_length_of_texts_have_several_codes():
     from graphloom.llm.chroma import fingerprint
 
     text = np.frombuffer(prose(400).encode()[:1500], np.uint8)
-    assert len(fingerprint(text, 2000)) == 3
+    assert len(fingerprint(text, 2000)) == 38
 
 
 def test_closest_recording_is_another_one(spark):
@@ -390,15 +432,148 @@ def test_closest_recording_is_another_one(spark):
     assert [got[i].n_aligned for i in (20, 40)] == [2, 2] and got[20].class_id == 20
 
 
-def test_slot_counts_beyond_24_bits():
-    """The slots of the first byte count one token of 2^24 and 39 others."""
+def test_slot_counts_beyond_32_bits(spark):
+    """The slots of the first byte count three chunks' tokens of 2^31 and 39 others, summed over tasks."""
     from graphloom.llm import mixing_lm as M
-    import pyarrow as pa
 
-    counts = np.array([1 << 24] + [1] * 39, np.uint32)
+    counts = np.array([1 << 31] + [1] * 39, np.uint32)
     words = "".join(f"a{i:02}\n" for i in range(40)).encode()
-    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([zlib.compress(counts.tobytes())]), pa.array([zlib.compress(words)])], names=["bucket", "x", "counts", "words"])
-    parts = [pa.Table.from_batches([b]) for b in M._counter([batch])]
+    rows = [(0, c, bytearray(zlib.compress(counts.tobytes())), bytearray(zlib.compress(words))) for c in range(3)]
+    blobs = spark.createDataFrame(rows, M.BLOB).repartition(3, "chunk")
+    parts = M.summed_by_tree(blobs.mapInArrow(M._counter, M.COUNTED), fan=2)
+    want = 3 * ((1 << 31) + 39)
+    assert sum(r["n"] for r in parts) == want and len(parts) == M.P * M.PARTS
     for k in range(M.P):
-        total = np.concatenate([np.frombuffer(zlib.decompress(M._summed(t)["part"][0].as_py()), np.float32) for t in parts if t["k"][0].as_py() == k])
-        assert k == M.WHOLE or np.float32((1 << 24) + 39) in total
+        total = np.concatenate([np.frombuffer(zlib.decompress(r["part"]), np.uint8) for r in sorted((r for r in parts if r["k"] == k), key=lambda r: r["p"])])
+        assert M.levels(np.array([want]))[0] in total or k == M.WHOLE
+    big = np.array([0, 1, 5, 1 << 16, 3 << 20, 1 << 40, 1 << 47], float)
+    assert np.all(np.abs(M.LEVELS[M.levels(big)] - big) <= 0.1 * big + 1e-9)
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    from graphloom.llm import mixing_lm as M
+
+    rows = [(i, prose(30 + i % 90)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    group, M.GROUP = M.GROUP, 64  # several groups
+    try:
+        for n in (2, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append({r.doc_id: (r.score, r.base_score) for r in M.score_texts(docs).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        M.GROUP = group
+    assert got[0].keys() == got[1].keys() and all(abs(a - b) < 1e-6 for i in got[0] for a, b in zip(got[0][i], got[1][i]))
+
+
+def test_spotsigs_query_against_brute_force(docs, spark, tmp_path):
+    """``op2`` over all awkward rows: spots, edited texts and likenesses written anew in Python."""
+    from graphloom.llm.spotsigs import ANCHORS, op2
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(((r[0], r[1] or "") for r in ROWS), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+
+    def spots(t):
+        words = [w for w in re.split(r"[\W_]+", t.lower()) if w]
+        content = [(k, w) for k, w in enumerate(words) if w not in ANCHORS]
+        # heads: the start or a run of anchors, with the content word that follows it
+        heads, k = [], 0
+        while k <= len(words):
+            run = []
+            while k < len(words) and words[k] in ANCHORS:
+                run.append(words[k])
+                k += 1
+            if run or not heads:
+                heads.append((("^", *run) if not heads else tuple(run), k))
+            k += 1
+        out = set()
+        for run, k in heads:
+            first = words[k] if k < len(words) else ""
+            later = [w for j, w in content if j > k]
+            out.add((run, first, later[0] if later else ""))
+        return out
+
+    want = Counter()
+    for k, (i, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][1]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + nxt[:cut]
+        a, b, c = spots(t), spots(edited), spots(nxt)
+        want[(i, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(len(a & b) / len(a | b), 6), round(len(a & c) / len(a | c), 6))] += 1
+    got = op2(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 6), round(r.near_next, 6)) for r in got) == want
+    assert all((r.fingerprint == s.fingerprint) for r in got for s in got if r.n_chars == s.n_chars and r.doc_id in (1, 2) and s.doc_id in (1, 2))
+
+
+def test_stages_of_the_pipeline_take_any_table(docs, nothing, spark, tmp_path):
+    """Clashing columns, nulls, empty, long and repeated texts, and no rows: each stage keeps the columns and the rows it should."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    extra = docs.withColumn("_gone", F.lit(1)).withColumn("_id", F.lit(2)).withColumn("b", F.lit("x"))
+    clash = extra.toDF(*[{"b": "TEXT"}.get(c, c) for c in extra.columns])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, clash, str(tmp_path))
+        rows = out.collect()
+        if name == "encode":
+            assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in ROWS)
+        else:
+            assert out.columns == clash.columns
+            empty = nothing.withColumn("_gone", F.lit(1))
+            assert stage(spark, empty, str(tmp_path)).count() == 0
+        if name == "near_duplicates":
+            assert Counter(r[0] for r in rows)[2] == 0 and Counter(r[0] for r in rows)[None] == 1
+
+
+def test_pipeline_run_against_its_stages_by_brute_force(spark, tmp_path):
+    """``run`` on a small corpus: each stage's rule applied in Python to the rows before it, but for the classifier, whose own rule is its score."""
+    import corpus_pipeline
+    import public_tokenizers
+    import sentencepiece
+    from graphloom.llm.quality import score_documents
+
+    r = random.Random(11)
+    good = [" ".join(r.choice(WORDS) + str(r.randrange(500)) for _ in range(40)) for _ in range(60)]
+    rows = [(i, t + "\nshared footer line of all\n" + f"own line {i}", "en", f"s{i % 3}", 0) for i, t in enumerate(good)]
+    rows += [(100 + i, rows[i][1] + " and", "en", "s0", 0) for i in range(5)] + [(200 + i, " ".join(w + "***" for w in good[i].split()), "en", "s1", 0) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i < 200), 0) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    keep = {x.doc_id for x in score_documents(docs, labels).where("score >= 0.7").collect()}
+    now = [(i, t, s) for i, t, _, s, _ in rows if i in keep]
+    assert {i for i, *_ in now} >= set(range(60)) and not any(i >= 200 for i, *_ in now)
+    seen, lines = [], []
+    for i, t, s in now:
+        out = []
+        for x in t.split("\n"):
+            if x not in seen:
+                out.append(x)
+            seen.append(x)
+        if "".join(out).strip():
+            lines.append((i, "\n".join(out), s))
+    sets = [(i, shingles(t)) for i, t, _ in lines]
+    comp = {i: i for i, _ in sets}
+    for _ in range(len(sets)):
+        for i, a in sets:
+            for j, b in sets:
+                if i < j and a and b and len(a & b) >= 0.8 * len(a | b):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+        break
+    kept = [x for x in lines if comp[x[0]] == x[0]]
+    n = Counter(s for *_, s in kept)
+    drawn = Counter()
+    for i, t, s in kept:
+        m = len(kept) / len(n) / n[s]
+        u = int(hashlib.md5(f"20:{i}:0".encode()).hexdigest()[:13], 16) / 2**52
+        p = c = math.exp(-m)
+        k = 0
+        while c <= u:
+            k += 1
+            p *= m / k
+            c += p
+        drawn[(i, t)] += k
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = Counter({(i, tuple(sp.encode(t))): k for (i, t), k in (+drawn).items()})
+    assert Counter((x.doc_id, tuple(x.ids)) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
