@@ -105,12 +105,19 @@ def ftrl(rows, bits: int, alpha: float, beta: float, l1: float, l2: float, epoch
 
 def _trainer(bits, alpha, beta, l1, l2, epochs):
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("key", "ascending"), ("label", "ascending")])
-        s, v = table["slots"].combine_chunks(), table["values"].combine_chunks()
-        o = s.offsets.to_numpy()
-        sv, vv = s.values.to_numpy(), v.values.to_numpy().astype(np.float64)
-        y = table["label"].to_numpy()
-        w, b = ftrl([(sv[o[i] : o[i + 1]], vv[o[i] : o[i + 1]], y[i]) for i in range(len(y))], bits, alpha, beta, l1, l2, epochs)
+        # rows by key, without moving them; a key has one row
+        y, order = table["label"].to_numpy(), np.argsort(table["key"].to_numpy(), kind="stable")
+        parts = [(s.values.to_numpy(), v.values.to_numpy(), s.offsets.to_numpy()) for s, v in zip(table["slots"].chunks, table["values"].chunks)]
+        at = [(k, i) for k, (_, _, o) in enumerate(parts) for i in range(len(o) - 1)]
+
+        class Rows:
+            def __iter__(self):
+                for r in order:
+                    k, i = at[r]
+                    s, v, o = parts[k]
+                    yield s[o[i] : o[i + 1]], v[o[i] : o[i + 1]].astype(np.float64), y[r]
+
+        w, b = ftrl(Rows(), bits, alpha, beta, l1, l2, epochs)
         at = np.flatnonzero(w)
         return pa.table({"slot": pa.array(np.append(at, -1).astype(np.int64)), "w": pa.array(np.append(w[at], b))})
 
@@ -122,9 +129,10 @@ def remainder(col, mod: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 18, alpha: float = 3.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.0, epochs: int = 4, fold: int = 4, out_fold: int = 2):
-    """(weights, bias) from at most ``sample`` labelled rows, those of the smallest hash of their id.
+    """(weights, bias) from at most ``sample`` labelled documents, those of the smallest hash of their id.
 
-    Rows of the held-out fold, and rows without id or label, are never used. Without any
+    Of the rows of one id the smallest text is used. Rows of the held-out fold, and rows without id
+    or label, are never used. Without any
     usable row the weights are zero and the bias 0.
     """
     docs = drop_columns_clash(docs, {"doc_id": "long", "text": "string"})
@@ -132,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 18
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (remainder("doc_id", fold) != out_fold))
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("label")).withColumn("key", F.xxhash64("doc_id"))
     chosen = usable.orderBy("key", "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("key", F.coalesce("text", F.lit("")).alias("text"), "label")
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("key", "doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("key", "text", "label")
     made = rows.mapInArrow(_featurizer(bits), "key long, label int, slots array<int>, values array<float>")
     # one bounded task: the sample, never the corpus
     got = made.groupBy(F.lit(0).alias("one")).applyInArrow(_trainer(bits, alpha, beta, l1, l2, epochs), "slot long, w double")
