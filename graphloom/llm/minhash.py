@@ -199,7 +199,7 @@ def _block_comparer(rule, width, num, den):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 85, den: int = 100, bands: int = 20, rows: int = 4, batch: int = 16, miss: float = 1e-6, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 85, den: int = 100, bands: int = 31, rows: int = 6, batch: int = 16, miss: float = 1e-6, block: int = 512) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
     Two texts are linked when den * |common shingles| >= num * |all shingles|. Words are runs
