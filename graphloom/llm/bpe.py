@@ -119,6 +119,12 @@ def load_json(path: str) -> tuple[np.ndarray, PairTable, tuple[str, ...]]:
     vocab = j["model"]["vocab"]
     merges = [m if isinstance(m, list) else m.split(" ") for m in j["model"]["merges"]]
     table = PairTable([vocab[a] for a, _ in merges], [vocab[b] for _, b in merges], [vocab[a + b] for a, b in merges])
+    made: dict[str, int] = {}
+    for r, (a, b) in enumerate(merges):
+        # ``merge_all`` relies on it: what a merge joins was made by earlier ones
+        if max(made.get(a, -1), made.get(b, -1)) >= r:
+            raise ValueError(f"merge {r} of {path} joins a piece that a later merge makes")
+        made.setdefault(a + b, r)
     return np.array([vocab[c] for c in byte_symbols()], np.int32), table, tuple(t["content"] for t in j["added_tokens"])
 
 

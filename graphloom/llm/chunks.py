@@ -50,10 +50,10 @@ def _chunker(most: int):
 
 
 def write_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3 << 17) -> DataFrame:
-    """All rows of ``docs`` as chunks of about ``most`` bytes; a longer text is a chunk of its own."""
+    """All rows of ``docs`` as chunks of about ``most`` bytes; a longer text is a chunk of its own. Chunks are dealt to their buckets first, so a bucket is one file."""
     docs = drop_columns_clash(docs, {id_col: "long", text_col: "string"})
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize_bucketed(docs.mapInArrow(_chunker(most), CHUNK), "chunks", "chunk", n)
+    return materialize_bucketed(docs.mapInArrow(_chunker(most), CHUNK).repartition(n, "chunk"), "chunks", "chunk", n)
 
 
 def each_chunk(batches: Iterator[pa.RecordBatch]):

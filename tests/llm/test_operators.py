@@ -130,8 +130,9 @@ def test_pieces_equal_the_library_and_round_trip(docs, nothing):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    for r in encode_documents(docs).collect():
-        assert r.exact and r.n_pieces == len(r.ids)
+    got = encode_documents(docs).collect()
+    assert all(r.exact and r.n_pieces == len(r.ids) for r in got)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((r[0], tuple(sp.encode(r[1] or ""))) for r in ROWS)
     m = model(path)
     for text in [r[1] or "" for r in ROWS] + ["ab" * 4000, "   \n\n  x", "🙂" * 200, "".join(rng.choice("ERth ing.,12 ") for _ in range(3000))]:
         assert m.encode(text).tolist() == sp.encode(text) and m.decode(sp.encode(text)) == text
@@ -577,3 +578,26 @@ def test_pipeline_run_against_its_stages_by_brute_force(spark, tmp_path):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = Counter({(i, tuple(sp.encode(t))): k for (i, t), k in (+drawn).items()})
     assert Counter((x.doc_id, tuple(x.ids)) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_long_texts_and_ties_are_scored(spark):
+    """A very long text, equal texts and repeated rows: classifier and language model give each row a score of its text alone."""
+    from graphloom.llm.mixing_lm import score_texts
+    from graphloom.llm.quality import score_documents, train
+
+    r = random.Random(5)
+    long = " ".join(r.choice(WORDS) for _ in range(60_000))
+    rows = [(1, long), (2, "same text here"), (3, "same text here"), (3, "same text here"), (4, long + "x"), (5, "a" * 300_000)] + [(10 + i, prose(20)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    q = score_documents(docs, labels).collect()
+    lm = score_texts(docs).collect()
+    for got in (q, lm):
+        by = {}
+        for x in got:
+            by.setdefault(x.doc_id, set()).add(x.score)
+        assert len(got) == len(rows) and by[2] == by[3] and len(by[3]) == 1 and all(math.isfinite(x.score) for x in got)
+    assert all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.7) for x in q) and all(x.score < 0 for x in lm)
+    # repeated rows of a labelled id change nothing
+    (w, b), (w2, b2) = train(docs, labels), train(docs.unionByName(docs), labels)
+    assert np.array_equal(w, w2) and b == b2
