@@ -5,18 +5,19 @@ hash aggregations and two joins, every vertex sends a row per neighbour and neve
 of them, and the number of rounds grows with the logarithm of the diameter. A vertex of
 very many neighbours is a large key of the joins: they are plain equi-joins, which adaptive
 execution splits, and what meets there is one row of the vertex. Once ``FEW`` edges are left, or
-were there from the start, one task finishes them.
+were there from the start, one task finishes them in arrays.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from graphloom.sources.scratch import discard, materialize
 
-#: Edges that one task finishes: a few MB.
-FEW = 100_000
+#: Edges that one task finishes: 16 MB, and about ten arrays of that length on the way.
+FEW = 1_000_000
 
 
 def _finished(batches):
@@ -24,23 +25,35 @@ def _finished(batches):
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
-    table = pa.Table.from_batches(batches)
-    by = [table.column(i).to_pylist() for i in range(table.num_columns - 2)]
-    up: dict = {}
-
-    def root(x):
-        while up.setdefault(x, x) != x:
-            y = up[x]
-            up[x] = x = up.setdefault(y, y)
-        return x
-
-    for *k, a, b in zip(*by, table.column("a").to_pylist(), table.column("b").to_pylist()):
-        x, y = root((*k, a)), root((*k, b))
-        if x != y:
-            lo, hi = (x, y) if x[-1] < y[-1] else (y, x)
-            up[hi] = lo
-    rows = [(*x, root(x)[-1]) for x in list(up) if up[x] != x]
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(table.schema.types)], names=table.schema.names)
+    table = pa.Table.from_batches(batches).combine_chunks()
+    by = [c.combine_chunks().dictionary_encode() for c in table.columns[:-2]]
+    key = [np.tile(c.indices.to_numpy(zero_copy_only=False).astype(np.int64), 2) for c in by]
+    ends = np.concatenate([table.column("a").to_numpy(), table.column("b").to_numpy()])
+    order = np.lexsort((ends, *key[::-1]))
+    new = np.zeros(len(ends), bool)
+    new[0] = True
+    for k in (*key, ends):
+        new[1:] |= k[order][1:] != k[order][:-1]
+    node = np.empty(len(ends), np.int64)
+    node[order] = np.cumsum(new) - 1
+    first = order[new]  # an entry of each node, by key and vertex
+    u, v = np.split(node, 2)
+    label = np.arange(len(first))
+    while True:
+        a, b = label[u], label[v]
+        if (a == b).all():
+            break
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while True:
+            far = label[label]
+            if (far == label).all():
+                break
+            label = far
+    rest = np.flatnonzero(label != np.arange(len(label)))
+    cols = [c.dictionary.take(pa.array(k[first[rest]])) for c, k in zip(by, key)]
+    yield pa.RecordBatch.from_arrays([*cols, pa.array(ends[first[rest]]), pa.array(ends[first[label[rest]]])], names=table.schema.names)
 
 
 def _stars(edges: DataFrame, by: list[str]) -> DataFrame:
