@@ -272,21 +272,21 @@ def chroma_brute(rows, every=20):
     """Every query against every other recording, over all keys they share."""
     from graphloom.llm import chroma as C
 
-    def keys(a, b, step):
-        k = [(int(x) << 32) | int(b[min(i + C.GAP, len(b) - 1)]) for i, x in enumerate(a)][::step]
-        return [(x, i * step) for i, x in enumerate(k) if i == 0 or x != k[i - 1]]
+    def keys(a, b):
+        k = [(int(x) << 32) | int(b[min(i + C.GAP, len(b) - 1)]) for i, x in enumerate(a)]
+        return [(x, i) for i, x in enumerate(k) if i == 0 or x != k[i - 1]]
 
     made = {i: np.frombuffer(x, np.uint8) for i, x in rows}
     codes = {i: C.fingerprint(x, 2000) for i, x in made.items()}
     out = {}
     for q in (i for i in made if i % every == 0 and len(made[i])):
         phases = C.phases_of(made[q], 2000)
-        asked = [(k, at * C.HOP + p * C.HOP // C.PHASES) for p, (c, t) in enumerate(phases) for a in (c, t) for b in (c, t) for k, at in keys(a, b, 1)]
+        asked = [(k, at * C.HOP + p * C.HOP // C.PHASES) for p, (c, t) in enumerate(phases) for a in (c, t) for b in (c, t) for k, at in keys(a, b)]
         for r in made:
             if r == q or not len(made[r]):
                 continue
             where = {}
-            for key, k in keys(codes[r], codes[r], 2):
+            for key, k in keys(codes[r], codes[r]):
                 where.setdefault(key, []).append(k)
             votes = Counter(k * C.HOP - place for key, place in asked for k in where.get(key, ()))
             if not votes:
