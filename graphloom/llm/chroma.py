@@ -8,8 +8,8 @@ window of ``SPAN`` frames, are quantised to two bits: one 32-bit integer for eac
 Recordings are aligned by keys of two integers ``GAP`` places apart. A recording has one key for
 each place; a query is read from ``PHASES`` starts within a hop, so that a recording cut at any
 sample still meets it, and asks for both integers as they are and with their least certain bit
-turned. Shared keys vote for the offset between two recordings, and at the offset of most votes
-the share of differing bits over the whole overlap decides.
+turned. All shared keys vote for the offset between two recordings, and at the offset of most
+votes the share of differing bits over the whole overlap decides.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ from graphloom.sources.scratch import drop_columns_clash, materialize
 FRAME, HOP, SPAN, GAP = 128, 32, 6, 2
 #: Starts within a hop from which a query is read.
 PHASES = 4
-#: Places of one key that meet a query: its first, its last, and so many more.
-HUBS = 4
+#: Places of a key up to which it meets queries in a join; recordings and queries of other keys meet in blocks.
+MANY = 16
+#: Bytes of the codes of a block, and votes or codes that are compared at once.
+BLOCK, VOTES = 1 << 22, 1 << 21
 #: Passes over the keys.
 PASSES = 4
 
@@ -210,17 +212,180 @@ def _errors(offset, phases, codes):
     return F.when(over > 0, diff / (32 * over))
 
 
-def alignments(codes: DataFrame, queries: DataFrame, most_errors: float = 0.3) -> DataFrame:
-    """``q, r, offset, votes, errors``: recordings that each query aligns with.
+def _posts_of(code: np.ndarray, later: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``posts``, over many recordings in one array with their offsets: key, number of the recording, place."""
+    n = np.diff(off)
+    rec = np.repeat(np.arange(len(n)), n)
+    i = np.arange(len(code))
+    key = (code.astype(np.int64) << 32) | later[np.minimum(i + GAP, off[1:][rec] - 1)].astype(np.int64)
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (rec[1:] != rec[:-1])
+    return key[first], rec[first], (i - off[:-1][rec])[first]
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+class _Recordings:
+    """A block of recordings with its posts in the order of their keys."""
+
+    def __init__(self, ids, members, sizes, codes):
+        self.ids, self.members, self.codes, self.off = ids, members, codes, _offsets(sizes)
+        key, rec, at = _posts_of(codes, codes, self.off)
+        order = np.argsort(key, kind="stable")
+        self.key, self.rec, self.at = key[order], rec[order], at[order]
+
+    def votes(self, sizes, code, turned):
+        """``query, recording, offset, votes``: arrays of the offset of most votes of each pair, in parts of whole queries."""
+        off = _offsets(sizes)
+        probes = [_posts_of(a, b, off) for a in (code, turned) for b in (code, turned)]
+        key, row, at = (np.concatenate(x) for x in zip(*probes))
+        query, place = row // PHASES, at * PHASES + row % PHASES  # places and offsets in steps of a phase
+        lo = np.searchsorted(self.key, key)
+        n = np.searchsorted(self.key, key, "right") - lo
+        order = np.flatnonzero(n)
+        order = order[np.argsort(query[order], kind="stable")]
+        query, place, lo, n = query[order], place[order], lo[order], n[order]
+        back = int(place.max(initial=0))
+        span = back + int(self.at.max(initial=0)) * PHASES + 1
+        ends, i = np.cumsum(n), 0
+        left = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + VOTES, "right")))
+            m = n[i:j]
+            to = np.repeat(lo[i:j] - _offsets(m)[:-1], m) + np.arange(m.sum())
+            pair = np.repeat(query[i:j], m) * len(self.ids) + self.rec[to]
+            code_, count = np.unique(pair * span + (self.at[to] * PHASES - np.repeat(place[i:j], m) + back), return_counts=True)
+            if len(left[0]):
+                code_, at_ = np.unique(np.concatenate([left[0], code_]), return_inverse=True)
+                count = np.bincount(at_, np.concatenate([left[1], count])).astype(np.int64)
+            # the last query may have more votes to come
+            done = len(code_) if j == len(n) else int(np.searchsorted(code_, query[j] * len(self.ids) * span))
+            left = code_[done:], count[done:]
+            if done:
+                yield self._best(code_[:done], count[:done], span, back)
+            i = j
+
+    def _best(self, code, count, span, back):
+        pair, offset = code // span, (code % span - back) * (HOP // PHASES)
+        starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        most = count == np.repeat(np.maximum.reduceat(count, starts), np.diff(np.r_[starts, len(pair)]))
+        pair, offset, count = pair[most], offset[most], count[most]
+        order = np.lexsort((offset, -np.abs(offset), pair))
+        last = order[np.r_[pair[order][1:] != pair[order][:-1], True]]
+        return pair[last] // len(self.ids), pair[last] % len(self.ids), offset[last], count[last]
+
+    def errors(self, query, rec, offset, sizes, code):
+        """As ``_errors``, for arrays of pairs; nan without overlap."""
+        off = _offsets(sizes)
+        start = -offset % HOP
+        row, shift = query * PHASES + start // (HOP // PHASES), (offset + start) // HOP
+        a, b = off[row] + np.maximum(-shift, 0), self.off[rec] + np.maximum(shift, 0)
+        over = np.maximum(np.minimum(off[row + 1] - a, self.off[rec + 1] - b), 0)
+        out, ends, i = np.full(len(rec), np.nan), np.cumsum(over), 0
+        while i < len(rec):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - over[i] + VOTES, "right")))
+            m = over[i:j]
+            k, own = np.arange(m.sum()), _offsets(m)
+            bits = np.bitwise_count(code[np.repeat(a[i:j] - own[:-1], m) + k] ^ self.codes[np.repeat(b[i:j] - own[:-1], m) + k])
+            sums = _offsets(bits)
+            some = m > 0
+            out[i:j][some] = (sums[own[1:]] - sums[own[:-1]])[some] / (32 * m[some])
+            i = j
+        return out
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what ``u, v`` join, fewer than there are ids."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        # a lower label holds for all that had the higher one
+        np.minimum.at(new, label, new.copy())
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = label != np.arange(len(ids))
+    return ids[far], ids[label[far]]
+
+
+PAIR = "q long, r long, offset long, votes long, errors double, others long"
+PAIRS = [c.split()[0] for c in PAIR.split(", ")]
+#: Cells of a block: ids, members, lengths of the lists, their integers, and the same turned.
+CELLS = ("ids", "members", "sizes", "code", "turned")
+
+
+def _packer(most):
+    def run(batches):
+        for batch in batches:
+            ids, members, *lists = (batch.column(k) for k in range(5))
+            at = [np.asarray(x.offsets).astype(np.int64) for x in lists]
+            values = [np.asarray(x.values) for x in lists]
+            for i, j in K.slices(at[1] * 4, most):
+                cells = [np.asarray(x)[i:j].tobytes() for x in (ids, members)] + [v[a[i] : a[j]].tobytes() for v, a in zip(values, at)]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=list(CELLS))
 
-    ``codes`` has ``rec, codes`` of distinct ids and codes; ``queries`` has ``q, phases``. A key that a
-    query and a recording share votes for the offset of their places, in samples (the query's place
-    p is at p + offset in the recording). Of a key's places the first, the last and up to ``HUBS`` others
-    meet a query, these chosen by a hash of key and recording: other keys choose others, and a key
-    of all recordings costs a query no more than a rare one. A pair that shares a key with no
-    third place is always compared. The offset of most votes is kept, of equal ones the one nearest to 0,
-    and the bit errors over the whole overlap decide.
+    return run
+
+
+def _blocks(rows: DataFrame, ways: int, name: str) -> DataFrame:
+    """``rows`` of ``CELLS`` packed, many recordings a row: as many rows as ``ways`` or of up to ``BLOCK`` bytes of codes, or one recording."""
+    total = 4 * (rows.select(F.sum(F.size("code"))).first()[0] or 0)
+    most = min(BLOCK, total // ways + 1)
+    return materialize(rows.select(*CELLS).repartition(max(1, -(-total // most))).mapInArrow(_packer(most), ", ".join(f"{c} binary" for c in CELLS)), name)
+
+
+def _comparer(most_errors, pairs):
+    def run(batches):
+        last = None
+        for batch in batches:
+            for row in zip(*(batch.column(k) for k in range(10))):
+                own, (ids, _, sizes, code, turned) = [c.as_buffer() for c in row[:5]], [c.as_buffer() for c in row[5:]]
+                if last is None or not all(a.equals(b) for a, b in zip(last, own)):
+                    last = own
+                    block = _Recordings(*(np.frombuffer(b, t) for b, t in zip(own, (np.int64, np.int64, np.int32, np.uint32))))
+                ids, sizes, code, turned = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int32), np.frombuffer(code, np.uint32), np.frombuffer(turned, np.uint32)
+                for q, r, offset, votes in block.votes(sizes, code, turned):
+                    errors = block.errors(q, r, offset, sizes, code)
+                    ok = (errors <= most_errors) & (ids[q] != block.ids[r])
+                    u, v, offset, votes, errors, others = ids[q[ok]], block.ids[r[ok]], offset[ok], votes[ok], errors[ok], block.members[r[ok]]
+                    if not len(u):
+                        continue
+                    if not pairs:
+                        a, b = _forest(u, v)
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=PAIRS)
+                        order = np.lexsort((offset, v, -votes, errors, u))
+                        first = np.flatnonzero(np.r_[True, u[order][1:] != u[order][:-1]])
+                        others = np.add.reduceat(others[order], first)
+                        u, v, offset, votes, errors = (x[order[first]] for x in (u, v, offset, votes, errors))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, offset, votes, errors, others)], names=PAIRS)
+
+    return run
+
+
+def _in_blocks(codes: DataFrame, queries: DataFrame, most_errors: float, pairs: bool) -> DataFrame:
+    """``PAIR`` of every query against every recording, in arrays, block by block: nothing is a row for each pair but the result.
+
+    With ``pairs`` the result has a row for each aligned pair. Else it has, for a query and a block,
+    the closest recording and the members of all that align, and rows without errors whose ``q, r``
+    join what is joined by the block's alignments.
     """
+    none = F.array().cast("array<int>")
+    right = queries.select(F.col("q").alias("ids"), F.lit(0).cast("long").alias("members"), F.transform("phases", lambda x: F.size(x.code)).alias("sizes"), F.flatten("phases.code").alias("code"), F.flatten("phases.turned").alias("turned"))
+    left = codes.select(F.col("rec").alias("ids"), "members", F.array(F.size("codes")).alias("sizes"), F.col("codes").alias("code"), none.alias("turned"))
+    left, right = _blocks(left, 32, "blocks"), _blocks(right, 4, "asking")
+    return left.hint("shuffle_replicate_nl").crossJoin(right.toDF(*[f"q_{c}" for c in CELLS])).mapInArrow(_comparer(most_errors, pairs), PAIR)
+
+
+def _aligned(codes: DataFrame, queries: DataFrame, most_errors: float, pairs: bool) -> DataFrame:
+    """``PAIR`` of ``codes`` with ``rec, codes, members``; rows as ``_in_blocks`` says."""
     asked = probes(queries)
     # keys in turn by their last bits, so that only a part of the index is on the way at a time
     met = None
@@ -228,15 +393,31 @@ def alignments(codes: DataFrame, queries: DataFrame, most_errors: float = 0.3) -
         own = F.pmod("key", F.lit(PASSES)) == k
         some = materialize(posts(codes).where(own).join(asked.where(own).select("key"), "key", "left_semi"), "posts")
         met = some if met is None else met.unionByName(some)
-    place = F.struct("r", "at")
-    hubs = met.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), *[F.min_by(place, F.xxhash64("key", "r", "at", F.lit(k))).alias(f"h{k}") for k in range(HUBS)])
-    hubs = hubs.select("key", F.explode(F.array_distinct(F.array("lo", "hi", *[f"h{k}" for k in range(HUBS)]))).alias("h"))
-    pairs = asked.join(hubs.select("key", "h.r", "h.at"), "key").where("q <> r")
-    votes = pairs.groupBy("q", "r", (F.col("at") * HOP - F.col("place")).alias("offset")).agg(F.count("*").alias("votes"))
+    many = materialize(met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("key"), "many")
+    recs = materialize(met.join(many, "key", "left_semi").select(F.col("r").alias("rec")).distinct(), "many_recordings")
+    asking = materialize(asked.join(many, "key", "left_semi").select("q").distinct(), "many_queries")
+    pairs_of = asked.join(met.join(many, "key", "left_anti"), "key").where("q <> r")
+    votes = pairs_of.groupBy("q", "r", (F.col("at") * HOP - F.col("place")).alias("offset")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).select("q", "r", "b.offset", "b.votes")
-    best = materialize(best, "votes")
-    full = best.join(codes.select(F.col("rec").alias("r"), "codes"), "r").join(queries.select("q", "phases"), "q")
-    return full.select("q", "r", "offset", "votes", _errors(F.col("offset"), F.col("phases"), F.col("codes")).alias("errors")).where(F.col("errors") <= most_errors)
+    # these are compared in blocks, by all of their keys
+    best = best.join(recs.select(F.col("rec").alias("r"), F.lit(True).alias("many_r")), "r", "left").join(asking.withColumn("many_q", F.lit(True)), "q", "left")
+    best = materialize(best.where("many_r is null or many_q is null").drop("many_r", "many_q"), "votes")
+    full = best.join(codes.select(F.col("rec").alias("r"), "codes", "members"), "r").join(queries.select("q", "phases"), "q")
+    full = full.select("q", "r", "offset", "votes", _errors(F.col("offset"), F.col("phases"), F.col("codes")).alias("errors"), F.col("members").alias("others")).where(F.col("errors") <= most_errors)
+    return full.unionByName(_in_blocks(codes.join(recs, "rec", "left_semi"), queries.join(asking, "q", "left_semi"), most_errors, pairs))
+
+
+def alignments(codes: DataFrame, queries: DataFrame, most_errors: float = 0.3) -> DataFrame:
+    """``q, r, offset, votes, errors``: recordings that each query aligns with.
+
+    ``codes`` has ``rec, codes`` of distinct ids and codes; ``queries`` has ``q, phases``. A key that a
+    query and a recording share votes for the offset of their places, in samples (the query's place
+    p is at p + offset in the recording). The offset of most votes is kept, of equal ones the one
+    nearest to 0, and the bit errors over the whole overlap decide. Keys of up to ``MANY`` places
+    meet queries in a join; the recordings and the queries that have any other key are compared with
+    each other in blocks of arrays, so that a key of all recordings needs no row for each pair.
+    """
+    return _aligned(codes.withColumn("members", F.lit(1).cast("long")), queries, most_errors, True).drop("others")
 
 
 def search_recordings(media: DataFrame, id_col: str, pcm_col: str, every: int = 20, rate: int = 2000, most_errors: float = 0.3) -> DataFrame:
@@ -256,11 +437,11 @@ def search_recordings(media: DataFrame, id_col: str, pcm_col: str, every: int =
     named = materialize(named.select("rec", "h.*"), "named")
     cls = named.groupBy("h1", "h2").agg(F.min(F.struct("rec", "row")).alias("c"), F.count("*").alias("members"), F.min(F.when(is_q, F.struct("rec", "row"))).alias("asker"))
     cls = materialize(cls.select("h1", "h2", F.col("c.rec").alias("cls"), F.col("c.row").alias("row"), "members", F.col("asker.row").alias("asker")), "classes")
-    codes = materialize(made.select("row", "codes").join(cls.select("row", F.col("cls").alias("rec")), "row").select("rec", "codes"), "recordings")
+    codes = materialize(made.select("row", "codes").join(cls.select("row", F.col("cls").alias("rec"), "members"), "row").select("rec", "codes", "members"), "recordings")
     queries = materialize(made.where("phases is not null").select("row", "phases").join(cls.select(F.col("asker").alias("row"), F.col("cls").alias("q")), "row").select("q", "phases"), "queries")
-    found = materialize(alignments(codes, queries, most_errors), "aligned")
+    found = materialize(_aligned(codes, queries, most_errors, False), "aligned")
     joined = connected_components(found.select(F.col("q").alias("u"), F.col("r").alias("v"))).toDF("cls", "class_id")
-    best = found.join(cls.select(F.col("cls").alias("r"), "members"), "r").groupBy("q").agg(F.sum("members").alias("others"), F.min(F.struct("errors", (-F.col("votes")).alias("v"), "r", "offset")).alias("b"))
+    best = found.where("errors is not null").groupBy("q").agg(F.sum("others").alias("others"), F.min(F.struct("errors", (-F.col("votes")).alias("v"), "r", "offset")).alias("b"))
     cls = cls.drop("row", "asker")
     of = named.drop("row").join(cls, ["h1", "h2"]).join(joined, "cls", "left").join(best.withColumnRenamed("q", "cls"), "cls", "left").withColumn("is_q", is_q)
     # the smallest id of a class has the next one as its copy

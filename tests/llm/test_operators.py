@@ -311,6 +311,55 @@ def test_alignments_against_brute_force(spark):
     assert {(g.q, g.r): (g.offset, g.votes, round(g.errors, 9)) for g in got} == want and len(want) >= 8
 
 
+def test_alignments_of_keys_with_many_places(spark, monkeypatch):
+    """Sixty recordings share one passage, some of them several times: every one is compared, in rows, in blocks and in parts of votes."""
+    from graphloom.llm import chroma as C
+
+    passage, r = prose(90).encode(), np.random.default_rng(5)
+    rows = [(i, prose(30).encode() * (i % 7 == 0) + passage * (1 + i % 3) + prose(int(r.integers(2, 60))).encode()) for i in range(60)]
+    rows += [(100 + i, prose(80).encode()) for i in range(3)] + [(103, rows[1][1])]
+    want = chroma_brute(rows)
+    assert min(sum(q == i for q, _ in want) for i in (0, 20, 40)) >= 59
+    made = C.fingerprints(spark.createDataFrame(rows, "rec long, pcm binary"), "rec", "pcm", every=20).cache()
+    codes, queries = made.select("rec", "codes"), made.where("phases is not null").select(F.col("rec").alias("q"), "phases")
+    got = C.alignments(codes, queries, 1.0).collect()
+    assert {(g.q, g.r): (g.offset, g.votes, round(g.errors, 9)) for g in got} == want and len(got) == len(want)
+    found = {x.doc_id: x for x in C.search_recordings(made.sparkSession.createDataFrame(rows, "rec long, pcm binary"), "rec", "pcm").collect()}
+    for q in (0, 20, 40):
+        near = {r: v for (i, r), v in want.items() if i == q and v[2] <= 0.3}
+        assert len(near) > 10 and found[q].n_aligned == len(near) and round(found[q].best_errors, 9) == min(v[2] for v in near.values())
+        assert all(found[r].class_id == found[q].class_id for r in near)
+    # votes of one query in several parts
+    monkeypatch.setattr(C, "VOTES", 50)
+    phases = [(q, C.phases_of(np.frombuffer(dict(rows)[q], np.uint8), 2000)) for q in (0, 20, 40, 100)]
+    each = [C.fingerprint(np.frombuffer(t, np.uint8), 2000) for _, t in rows]
+    block = C._Recordings(np.array([i for i, _ in rows]), np.ones(len(rows), np.int64), np.array([len(x) for x in each]), np.concatenate(each))
+    sizes, code, turned = np.array([len(c) for _, p in phases for c, _ in p]), np.concatenate([c for _, p in phases for c, _ in p]), np.concatenate([t for _, p in phases for _, t in p])
+    out = {}
+    for q, rec, offset, votes in block.votes(sizes, code, turned):
+        errors = block.errors(q, rec, offset, sizes, code)
+        out |= {(phases[a][0], rows[b][0]): (int(o), int(v), round(float(e), 9)) for a, b, o, v, e in zip(q, rec, offset, votes, errors) if phases[a][0] != rows[b][0]}
+    assert out == want
+
+
+def test_forest_joins_what_edges_join():
+    from graphloom.llm.chroma import _forest
+
+    for u, v, n in (([5, 5, 9], [7, 9, 5], 2), (list(range(200)), list(range(1, 201)), 200), ([1, 3], [2, 4], 2)):
+        a, b = _forest(np.array(u), np.array(v))
+        assert len(a) == n
+
+        def parts(edges):
+            of = {}
+            for x, y in edges:
+                both = of.get(x, {x}) | of.get(y, {y})
+                for z in both:
+                    of[z] = both
+            return {frozenset(p) for p in of.values()}
+
+        assert parts(zip(u, v)) == parts(zip(a.tolist(), b.tolist()))
+
+
 def test_chroma(spark, nothing):
     from graphloom.llm.chroma import fingerprint, search_recordings
 
