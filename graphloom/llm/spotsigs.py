@@ -25,19 +25,28 @@ ANCHORS = (
 MARK = "\u0001"
 
 
+def _let(value, use):
+    """``use`` of a value that is computed once: inside array functions an expression used twice is computed twice."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spots(text, chain: int = 2):
     """The sorted distinct spot hashes (int) of a text column."""
-    plain = F.concat(F.lit("^" + MARK), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")))
-    # an anchor clings to what follows it; two words of text are apart by one blank
-    marked = F.regexp_replace(plain, f"(?<=[ {MARK}])({'|'.join(dict.fromkeys(ANCHORS))})(?: |$)", "$1" + MARK)
-    heads = F.split(marked, " ")
-    words = F.split(F.regexp_replace(marked, f"[^ {MARK}]*{MARK}", ""), " ")
-    pairs = heads
-    for k in range(1, chain):
-        pairs = F.zip_with(pairs, F.slice(words, k + 1, F.size(words)), lambda x, y: F.when(x.contains(MARK), F.concat(x, F.lit(" "), F.coalesce(y, F.lit("")))))
-    # pairs past the end of the heads have no head
-    hashed = F.transform(F.filter(pairs, lambda x: F.coalesce(x.contains(MARK), F.lit(False))), lambda x: F.hash(x))
-    return F.sort_array(F.array_distinct(hashed))
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+    def of(words):
+        # an anchor clings to what follows it; two words of text are apart by one blank
+        marked = F.transform(words, lambda w: F.concat(w, F.when(w.isin(*ANCHORS), F.lit(MARK)).otherwise(F.lit(" "))))
+        heads = F.split(F.concat(F.lit("^" + MARK), F.array_join(marked, "")), " ")
+        return _let(F.filter(words, lambda w: ~w.isin(*ANCHORS)), lambda content: joined(heads, content))
+
+    def joined(pairs, content):
+        for k in range(1, chain):
+            pairs = F.zip_with(pairs, F.slice(content, k + 1, F.size(content)), lambda x, y: F.when(x.contains(MARK), F.concat(x, F.lit(" "), F.coalesce(y, F.lit("")))))
+        # pairs past the end of the heads have no head
+        return F.transform(F.filter(pairs, lambda x: F.coalesce(x.contains(MARK), F.lit(False))), lambda x: F.hash(x))
+
+    return F.sort_array(F.array_distinct(_let(F.split(plain, " "), of)))
 
 
 def jaccard(x, y):
@@ -58,7 +67,9 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    rows = materialize(docs.select("doc_id", "text").repartitionByRange(n, *order).withColumn("p", F.spark_partition_id()), "ranges")
+    # bounds of ranges are found from rows that the driver samples: the starts of texts order them as well
+    starts = [order[0], F.substring("text", 1, 64).asc_nulls_first()]
+    rows = materialize(docs.select("doc_id", "text").repartitionByRange(n, *starts).withColumn("p", F.spark_partition_id()), "ranges")
     first = rows.groupBy("p").agg(F.min_by("text", F.struct(F.col("doc_id").isNull().alias("a"), (-F.col("doc_id").cast("decimal(20,0)")).alias("b"), F.col("text").isNotNull().alias("c"), "text")).alias("t"))
     ring = Window.orderBy("p")  # a row a range
     after = materialize(first, "firsts")

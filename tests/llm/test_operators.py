@@ -556,6 +556,35 @@ def test_spotsigs_query_against_brute_force(docs, spark, tmp_path):
     assert all((r.fingerprint == s.fingerprint) for r in got for s in got if r.n_chars == s.n_chars and r.doc_id in (1, 2) and s.doc_id in (1, 2))
 
 
+def test_spots_cut_a_text_once(spark):
+    """A text is lower-cased and cut by one pattern only, and chains of any length are those of a loop over its words."""
+    from graphloom.llm.spotsigs import ANCHORS, MARK, spots
+
+    texts = ["", "the", "of the", "alpha", "The quick, fox of THE alpha", "alpha the", "a b the c", " x  the\u0001of y z\n", "\u0130stanbul in \u6f22\u5b57 und Stra\u00dfe", *(prose(n) for n in (5, 40))]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    plan = docs.select(spots(F.col("text")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("lower(") == 1
+
+    def heads(text, chain):
+        words = [w for w in re.split(r"[^\w]|_", text.lower().replace("\u0307", " ")) if w]
+        out, run, content = [], "^" + MARK, []
+        for w in words:
+            if w in ANCHORS:
+                run += w + MARK
+            else:
+                out.append((run + w, len(content) + 1))
+                content.append(w)
+                run = ""
+        out.append((run, len(content) + 1))
+        return {" ".join([h, *((content + [""] * (k + chain))[k : k + chain - 1])]) for h, k in out if MARK in h}
+
+    for chain in (1, 2, 3):
+        got = docs.select("text", spots(F.col("text"), chain).alias("s")).collect()
+        names = sorted({h for t in texts for h in heads(t, chain)})
+        hashed = {r.h: r.x for r in spark.createDataFrame([(h,) for h in names], "h string").select("h", F.hash("h").alias("x")).collect()}
+        assert [r.s for r in got] == [sorted({hashed[h] for h in heads(r.text, chain)}) for r in got]
+
+
 def test_stages_of_the_pipeline_take_any_table(docs, nothing, spark, tmp_path):
     """Clashing columns, nulls, empty, long and repeated texts, and no rows: each stage keeps the columns and the rows it should."""
     import corpus_pipeline
