@@ -335,10 +335,10 @@ def _packer(most):
     return run
 
 
-def _blocks(rows: DataFrame, ways: int, name: str) -> DataFrame:
-    """``rows`` of ``CELLS`` packed, many recordings a row: as many rows as ``ways`` or of up to ``BLOCK`` bytes of codes, or one recording."""
+def _blocks(rows: DataFrame, ways: int, most: int, name: str) -> DataFrame:
+    """``rows`` of ``CELLS`` packed, many recordings a row: as many rows as ``ways`` or of up to ``most`` bytes of codes, or one recording."""
     total = 4 * (rows.select(F.sum(F.size("code"))).first()[0] or 0)
-    most = min(BLOCK, total // ways + 1)
+    most = min(most, total // ways + 1)
     return materialize(rows.select(*CELLS).repartition(max(1, -(-total // most))).mapInArrow(_packer(most), ", ".join(f"{c} binary" for c in CELLS)), name)
 
 
@@ -380,7 +380,8 @@ def _in_blocks(codes: DataFrame, queries: DataFrame, most_errors: float, pairs:
     none = F.array().cast("array<int>")
     right = queries.select(F.col("q").alias("ids"), F.lit(0).cast("long").alias("members"), F.transform("phases", lambda x: F.size(x.code)).alias("sizes"), F.flatten("phases.code").alias("code"), F.flatten("phases.turned").alias("turned"))
     left = codes.select(F.col("rec").alias("ids"), "members", F.array(F.size("codes")).alias("sizes"), F.col("codes").alias("code"), none.alias("turned"))
-    left, right = _blocks(left, 32, "blocks"), _blocks(right, 4, "asking")
+    # a query asks for four keys a code: its blocks are smaller
+    left, right = _blocks(left, 32, BLOCK, "blocks"), _blocks(right, 4, BLOCK // 4, "asking")
     return left.hint("shuffle_replicate_nl").crossJoin(right.toDF(*[f"q_{c}" for c in CELLS])).mapInArrow(_comparer(most_errors, pairs), PAIR)
 
 
