@@ -10,7 +10,8 @@ towards what came out.
 
 These contexts stay inside a token, so the spelled cost of a token depends on the token alone: counting,
 training and scoring run once per distinct token, weighted by its count, in tasks that each
-hold a bucket of tokens. Counts are sums over all training texts. Weights are learned online, a
+hold a bucket of tokens; within a batch of these, counting goes once over each distinct context
+and scoring once over each distinct beginning of a token, told apart by 64-bit hashes. Counts are sums over all training texts. Weights are learned online, a
 small batch of tokens after the other with the token's own occurrence left out of the counts,
 in every group over all its tokens; the groups' weights are averaged by bits seen. Groups are
 ranges of the tokens' hashes, as many as the number of distinct tokens asks for, so the model
@@ -72,14 +73,25 @@ def held_out(ids, null, fold: int, out_fold: int) -> np.ndarray:
 
 def tokens(data: np.ndarray, offsets: np.ndarray):
     """Lower-cased bytes with an end after each text, starts and ends of tokens, first token of each text."""
-    n = np.diff(offsets)
     off = offsets + 2 * np.arange(len(offsets))
-    out = np.full(off[-1], 32, np.uint8)
-    out[np.arange(len(data)) + 2 * np.repeat(np.arange(len(n)), n)] = K.LOWER[data]
+    out, inside = np.full(off[-1], 32, np.uint8), np.ones(off[-1], bool)
     out[off[1:] - 1] = END
+    inside[off[1:] - 1] = inside[off[1:] - 2] = False
+    out[inside] = K.LOWER[data]
     return (out, *K.words(out, off))
 
 
+def unique(keys: np.ndarray):
+    """Sorted distinct keys, a place of each and the number among them of every entry; the places need no stable sort, as equal keys stand for equal bytes."""
+    order = keys.argsort()
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], inverse
+
+
 def joined(data, starts, ends) -> np.ndarray:
     """The bytes of the given words, each with a line feed after it."""
     n = ends - starts + 1
@@ -98,7 +110,7 @@ def _emitter(bits, fold, out_fold):
         for chunk, ids, null, raw, off, _ in each_chunk(batches):
             data, starts, ends, first = tokens(raw, off)
             h = K.word_hashes(data, starts, ends)
-            keys, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+            keys, at, inverse = unique(h)
             train = np.repeat(~held_out(ids, null, fold, out_fold), np.diff(first))
             counts = np.bincount(inverse, train, len(keys)).astype(np.uint32)
             cuts = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=U) << U(64 - bits)), len(keys))
@@ -115,35 +127,64 @@ def distinct(counts: list[bytes], words: list[bytes]):
     c = np.frombuffer(b"".join(zlib.decompress(x) for x in counts), np.uint32)
     ends = np.flatnonzero(data == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
-    keys, at, inverse = np.unique(K.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    keys, at, inverse = unique(K.word_hashes(data, starts, ends))
     return data, starts[at], ends[at], np.bincount(inverse, c, len(at)), inverse, keys
 
 
-def coded(data, starts, ends, which=range(P)):
-    """For the tokens' bytes and closing blanks: token, byte, place, and a context hash for each predictor of ``which``."""
+def spelled(data, starts, ends):
+    """The tokens' bytes, each with a closing blank: byte, token, place, first byte of each token."""
     n = ends - starts + 1
     first = np.concatenate([[0], np.cumsum(n)])
     token = np.repeat(np.arange(len(n)), n)
     place = np.arange(first[-1]) - first[token]
     byte = data[np.repeat(starts, n) + place].copy()
     byte[first[1:] - 1] = 32
-    back = np.zeros((5, len(byte)), np.uint8)
+    return byte, token, place, first
+
+
+def packed_before(byte, place) -> np.ndarray:
+    """Each byte as the lowest of a number with the five before it in its token; a 1 stands where there is none."""
+    out = byte.astype(U)
     for k in range(5):
-        back[k, k + 1 :] = byte[: len(byte) - k - 1]
-        back[k][place <= k] = 1
-    ctx = []
-    for o in (ORDERS[k] for k in which):
-        if o:
-            h = np.full(len(byte), U(o * 1000003))
-            for k in range(o):
-                h = h * U(257) + back[k]
-        else:
-            h = K.word_hashes(byte, first[token], first[token] + place) + U(77)
-        ctx.append(K.mix(h) * SPREAD)
-    return token, byte, place, ctx
+        back = np.ones(len(byte), np.uint8)
+        back[k + 1 :] = byte[: max(len(byte) - k - 1, 0)]
+        back[place <= k] = 1
+        out |= back.astype(U) << U(8 * (k + 1))
+    return out
+
+
+def context(packed, order: int) -> np.ndarray:
+    """A hash of the last ``order`` bytes before each byte."""
+    h = np.full(len(packed), U(order * 1000003))
+    for k in range(order):
+        h = h * U(257) + ((packed >> U(8 * (k + 1))) & U(255))
+    return K.mix(h) * SPREAD
+
+
+def whole_context(byte, token, place, first) -> np.ndarray:
+    """A hash of all of the token before each byte."""
+    return K.mix(K.word_hashes(byte, first[token], first[token] + place) + U(77)) * SPREAD
+
+
+def coded(data, starts, ends):
+    """For the tokens' bytes and closing blanks: token, byte, place, and a context hash for each predictor."""
+    byte, token, place, first = spelled(data, starts, ends)
+    packed = packed_before(byte, place)
+    return token, byte, place, [context(packed, o) if o else whole_context(byte, token, place, first) for o in ORDERS]
+
+
+def coded_once(data, starts, ends):
+    """As ``coded``, with each byte after the same beginning of a token once: byte, place, contexts; then token and number among these of every byte."""
+    byte, token, place, first = spelled(data, starts, ends)
+    whole = whole_context(byte, token, place, first)
+    _, at, inverse = unique(whole + byte * BYTES)
+    packed = packed_before(byte, place)[at]
+    return byte[at], place[at], [context(packed, o) if o else whole[at] for o in ORDERS], token, inverse
 
 
 SPREAD = U(0x9E3779B97F4A7C15)
+#: Tells the bytes after one context apart.
+BYTES = U(0xD1B54A32D192ED03)
 #: Hashes of the places in a byte's tree of bits, spread as the contexts are.
 NODES = K.mix(np.arange(256, dtype=U) + U(1)) * SPREAD
 
@@ -166,6 +207,51 @@ def batches_of(starts, ends, most: int = 100_000):
 COUNTED = "g int, k int, p int, n long, v long, part binary"
 
 
+def summed(keys, weight):
+    """Distinct keys, a place of each and the sum of its weights."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64), weight
+    order = keys.argsort()
+    ranked = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    return ranked[at], order[at], np.add.reduceat(weight[order], at)
+
+
+def met(held, k: int):
+    """Contexts of predictor ``k``, bytes and how many of the tokens have that byte there, each once for a batch, as tokens share most of their contexts.
+
+    ``held``: tokens and counts of the buckets; the longest context of a fixed number of bytes leaves its sums there instead, for the shorter ones."""
+    for at, x in enumerate(held):
+        if k in (WHOLE, WHOLE - 1):
+            data, count = x
+            ends = np.flatnonzero(data == 10)
+            starts = np.concatenate([[0], ends + 1])[:-1]
+            if k == WHOLE:
+                again = count > 1  # a token seen once tells its whole nothing
+                starts, ends, count = starts[again], ends[again], count[again]
+            left = []
+            for i, j in batches_of(starts, ends, 200_000):
+                byte, token, place, first = spelled(data, starts[i:j], ends[i:j])
+                if k == WHOLE:
+                    whole = whole_context(byte, token, place, first)
+                    _, one, weight = summed(whole + byte * BYTES, count[i:j][token])
+                    yield whole[one], byte[one], weight
+                else:
+                    packed, weight = summed(packed_before(byte, place), count[i:j][token])[::2]
+                    yield context(packed, ORDERS[k]), (packed & U(255)).astype(np.uint8), weight
+                    left.append(shorter(packed, weight, ORDERS[k - 1]))
+            if k != WHOLE:
+                held[at] = shorter(*(np.concatenate(y) for y in zip(*left)), ORDERS[k - 1]) if left else (np.zeros(0, U), count)
+        else:
+            packed, weight = held[at] = shorter(*x, ORDERS[k])
+            yield context(packed, ORDERS[k]), (packed & U(255)).astype(np.uint8), weight
+
+
+def shorter(packed, weight, order: int):
+    """The sums by the last ``order`` bytes before a byte, from those by more of them."""
+    return summed(packed & U((1 << 8 * (order + 1)) - 1), weight)[::2]
+
+
 def _counter(batches):
     """Sums of a task's buckets, one predictor after the other: the slots' counts, tokens and distinct tokens."""
     from pyspark import TaskContext
@@ -183,19 +269,12 @@ def _counter(batches):
         seen = np.flatnonzero(count)
         held.append((joined(data, starts[seen], ends[seen]), count[seen].astype(np.uint64)))
     n, v = sum(int(c.sum()) for _, c in held), sum(len(c) for _, c in held)
-    for k in range(P):
+    for k in reversed(range(P)):
         sums = np.zeros(2 << SLOTS[k], np.uint64)
-        for data, count in held:
-            ends = np.flatnonzero(data == 10)
-            starts = np.concatenate([[0], ends[:-1] + 1])
-            if k == WHOLE:
-                count = np.where(count > 1, count, U(0))  # a token seen once tells its whole nothing
-            for i, j in batches_of(starts, ends):
-                token, byte, _, ctx = coded(data, starts[i:j], ends[i:j], (k,))
-                weight = count[i:j][token]
-                for b in range(8):
-                    slots, bit = bit_slots(ctx, byte, b, (k,))
-                    np.add.at(sums, slots[0] * 2 + bit, weight)
+        for ctx, byte, weight in met(held, k):
+            for b in range(8):
+                slots, bit = bit_slots([ctx], byte, b, (k,))
+                np.add.at(sums, slots[0] * 2 + bit, weight)
         step = len(sums) // PARTS
         for p in range(PARTS):
             part = zlib.compress(sums[p * step : (p + 1) * step].tobytes(), 1)
@@ -249,7 +328,7 @@ def _by_levels() -> tuple[np.ndarray, np.ndarray]:
     zero, one = np.tile(LEVELS, 256), np.repeat(LEVELS, 256)
     less = [(zero, one), (np.maximum(zero - 1, 0), one), (zero, np.maximum(one - 1, 0))]
     zero, one = (np.concatenate(x) for x in zip(*less))
-    return np.log((one + PRIOR) / (zero + PRIOR)).astype(np.float32), np.searchsorted(CONFIDENCE, zero + one, "right")
+    return np.log((one + PRIOR) / (zero + PRIOR)).astype(np.float32), np.searchsorted(CONFIDENCE, zero + one, "right").astype(np.uint8)
 
 
 EVIDENCE, SURE = _by_levels()
@@ -265,16 +344,17 @@ class Mixer:
 
     def evidence(self, slots, place, bit=None, weight=None):
         """Stretched probabilities by predictor, and the gate; ``bit``: without this occurrence."""
-        xs, level = [], np.zeros(len(slots[0]), np.int64)
+        xs, level = [], np.zeros(len(slots[0]), np.uint8)
         own = None if bit is None else (bit.astype(np.int64) + 1) << 16
         for k in range(P):
-            at = self.counts[k].take(slots[k]).astype(np.int64)
+            at = self.counts[k].take(slots[k])
             if bit is not None:
-                at += own if k != WHOLE else np.where(weight > 1, own, 0)
+                at = at + (own if k != WHOLE else own * (weight > 1))
             xs.append(EVIDENCE.take(at))
             sure = SURE.take(at)
-            level = np.where(sure > 0, P - 1 + sure if k == WHOLE else k + 1, level)
-        return xs, level * PLACES + np.minimum(place, PLACES - 1)
+            here = np.minimum(sure, 1)
+            level = np.maximum(level, (here * np.uint8(P - 1) + sure) if k == WHOLE else here * np.uint8(k + 1))
+        return xs, level * np.int64(PLACES) + np.minimum(place, PLACES - 1)
 
     def mixed(self, xs, gate):
         w = np.ascontiguousarray(self.w.T)
@@ -311,7 +391,7 @@ class Mixer:
         """Bits of each token."""
         out, (total, ones) = np.zeros(len(starts)), self.apm.reshape(2, -1)
         for i, j in batches_of(starts, ends):
-            token, byte, place, ctx = coded(data, starts[i:j], ends[i:j])
+            byte, place, ctx, token, which = coded_once(data, starts[i:j], ends[i:j])
             given = np.ones(len(byte))  # eight factors of at least 1e-7
             for b in range(8):
                 slots, bit = bit_slots(ctx, byte, b)
@@ -321,7 +401,7 @@ class Mixer:
                 cell = gate * BINS + np.clip(np.rint(z * 1.25) + BINS // 2, 0, BINS - 1).astype(np.int64)
                 p = (p + (ones.take(cell) + p) / (total.take(cell) + 1)) / 2
                 given *= np.where(bit == 1, p, 1 - p)
-            out[i:j] = np.bincount(token, -np.log2(given), j - i)
+            out[i:j] = np.bincount(token, -np.log2(given)[which], j - i)
         return out
 
 

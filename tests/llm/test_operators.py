@@ -500,6 +500,42 @@ def test_slot_counts_beyond_32_bits(spark):
     assert np.all(np.abs(M.LEVELS[M.levels(big)] - big) <= 0.1 * big + 1e-9)
 
 
+def test_shared_beginnings_of_tokens_cost_once(monkeypatch):
+    """Tokens of one long beginning: bits are looked up once for each distinct beginning, and costs and counts are those of each token alone."""
+    from graphloom.llm import mixing_lm as M
+    import pyarrow as pa
+
+    tokens = [b"a" * 40 + b"%02d" % i for i in range(60)] + [b"x", b"aa"]
+    bounds = np.cumsum([0] + [len(t) + 1 for t in tokens])
+    data, starts, ends = np.frombuffer(b"\n".join(tokens) + b"\n", np.uint8), bounds[:-1], bounds[1:] - 1
+    count = np.arange(len(tokens)).astype(np.uint64)
+    looked, inner = [], M.bit_slots
+    monkeypatch.setattr(M, "bit_slots", lambda ctx, byte, *x: looked.append(len(byte)) or inner(ctx, byte, *x))
+    distinct = len({(t + b" ")[: i + 1] for t in tokens for i in range(len(t) + 1)})
+    levels = [np.random.default_rng(k).integers(0, 90, 2 << s).astype(np.uint8) for k, s in enumerate(M.SLOTS)]
+    m = M.Mixer(levels, apm=np.ones((2, M.GATES, M.BINS)))
+    got = m.costs(data, starts, ends)
+    assert sum(looked) <= 8 * distinct
+    alone = [m.costs(data, starts[i : i + 1], ends[i : i + 1])[0] for i in range(len(tokens))]
+    assert np.allclose(got, alone, rtol=1e-12)
+
+    looked.clear()
+    rows = [(0, 0, zlib.compress(count.astype(np.uint32).tobytes()), zlib.compress(data.tobytes())), (1, 0, zlib.compress(np.zeros(1, np.uint32).tobytes()), zlib.compress(b"held\n"))]
+    blob = pa.RecordBatch.from_pylist([dict(zip(("bucket", "chunk", "counts", "words"), r)) for r in rows])
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    sums = {k: [] for k in range(M.P)}
+    for r in M._counter([blob]):
+        sums[r["k"][0].as_py()].append(np.frombuffer(zlib.decompress(r["part"][0].as_py()), np.uint64))
+    assert sum(looked) <= 8 * M.P * distinct
+    token, byte, _, ctx = M.coded(data, starts, ends)
+    for k in range(M.P):
+        want = np.zeros(2 << M.SLOTS[k], np.uint64)
+        for b in range(8):
+            slots, bit = inner([ctx[k]], byte, b, (k,))
+            np.add.at(want, slots[0] * 2 + bit, np.where((count > 1) | (k != M.WHOLE), count, 0).astype(np.uint64)[token])
+        assert np.array_equal(np.concatenate(sums[k]), want), k
+
+
 def test_language_model_does_not_depend_on_partitions(spark):
     from graphloom.llm import mixing_lm as M
 
