@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.operators.components import connected_components
 from graphloom.operators.graph import running_sums
-from graphloom.operators.structure import MOST_EDGES
+from graphloom.operators.structure import MOST_EDGES, Structure
 from graphloom.schema import NO_COVER
 from graphloom.sources.scratch import discard, materialize
 
@@ -182,6 +182,22 @@ def between(forest: DataFrame, pairs: DataFrame, cover: DataFrame) -> DataFrame:
     return pairs.select("qid").join(got, "qid", "left").select("qid", F.coalesce("m.cover_level", F.lit(NO_COVER)).cast("int").alias("cover_level"), F.col("m.edge_id").alias("min_edge"), "bridge")
 
 
+def bridge_between(s: Structure, pairs: DataFrame) -> DataFrame:
+    """``qid, cover_level, bridge`` as ``between`` gives them for the covers of a graph: -1 and the smallest bridge on the path, else 0, ``NO_COVER`` without path.
+
+    Only pairs of different two-edge-connected components have a bridge between them, and look for it in the forest of bridges.
+    """
+    at = s.blocks.select("vertex_id", "component_id", "block")
+    q = pairs.select("qid", "u", "v").join(at.toDF("u", "cu", "bu"), "u").join(at.toDF("v", "cv", "bv"), "v").where("cu = cv and u <> v")
+    q = materialize(q.select("qid", "bu", "bv"), "asked")
+    f = s.bridge_forest()
+    far = q.where("bu <> bv").select("qid", F.col("bu").alias("u"), F.col("bv").alias("v"))
+    values = edge_values(f.rooted, f.graph.edges.select("edge_id"), bridge=F.col("edge_id"))
+    got = path_folds(f.rooted, far, values, {"bridge": lambda a, b: F.least(a, b)}).select("qid", F.lit(-1).alias("level"), "bridge")
+    got = got.unionByName(q.where("bu = bv").select("qid", F.lit(0).alias("level"), F.lit(None).cast("long").alias("bridge")))
+    return pairs.select("qid").join(got, "qid", "left").select("qid", F.coalesce("level", F.lit(NO_COVER)).cast("int").alias("cover_level"), "bridge")
+
+
 def len_sum_max(forest: DataFrame, pairs: DataFrame, edges: DataFrame, weight: str = "weight") -> DataFrame:
     """``qid, path_len, path_sum, path_max``: 0 for equal ends, null without path."""
     w = F.col(weight)

@@ -383,3 +383,42 @@ def test_fold_per_component(spark):
     assert {tuple(r) for r in fold_per_component(s.comp, s.graph.edges, f, "component_id long, edges string").collect()} == {(0, "0,1"), (3, "2")}
     with pytest.raises(ValueError):
         fold_per_component(s.comp, s.graph.edges, f, "component_id long, edges string", most_edges=1)
+
+
+@pytest.mark.parametrize("most", [3, 10**6])
+def test_parts_of_a_few_edges_give_the_same_tables(spark, most, monkeypatch):
+    """Tasks take three edges at a time, so components, forests and blocks meet in what they leave."""
+    from graphloom.operators import structure as S
+
+    monkeypatch.setattr(components, "CHUNK", 3)
+    monkeypatch.setattr(S, "SMALL", 2)
+    rng = random.Random(29)
+    n = 40
+    edges = [(i, *rng.sample(range(n - 2), 2)) for i in range(34)]
+    g = Graph.of_edges(spark.createDataFrame(edges, "edge_id long, u long, v long"), spark.range(n).withColumnRenamed("id", "vertex_id"))
+    s = derive(g, most_edges=most)
+    comp, bridges, tree, block = brute(n, edges)
+    assert {r.vertex_id: r.component_id for r in s.comp.collect()} == dict(enumerate(comp))
+    assert {r.edge_id for r in s.bridges().collect()} == bridges and {r.edge_id for r in s.tree.collect()} == tree
+    assert {r.vertex_id: r.block for r in s.blocks.collect()} == dict(enumerate(block))
+    if most > 3:
+        up = {r.vertex_id: r for r in s.forest.collect()}
+        assert {r.parent_edge for r in up.values()} - {None} == tree and all(r.parent is None or up[r.parent].depth == r.depth - 1 and up[r.parent].tin < r.tin <= r.tout <= up[r.parent].tout for r in up.values())
+        pairs = spark.createDataFrame([(q, rng.randrange(n), rng.randrange(n + 3)) for q in range(40)], "qid long, u long, v long")
+        rows = lambda df: {(r.qid, r.cover_level, r.bridge) for r in df.collect()}
+        assert rows(P.bridge_between(s, pairs)) == rows(P.between(s.forest, pairs, s.cover))
+        assert s.cover_level().collect() and {(r.vertex_id, r.edge_id) for r in s.incident_non_tree().collect()} == {(x, e) for e, *ends in edges if e not in tree for x in ends}
+
+
+def test_edges_need_no_structure_and_numbers_no_window(spark):
+    """Scans of a graph derive nothing, and a number comes from a place in a part: no task holds a window."""
+    from graphloom.plans import queries as Q
+    from graphloom.sources import graphs
+
+    sf = "/root/testdata/sf0.001"
+    graphs.forget()
+    for name in ("edges", "degree", "parallel_pairs", "edges_endpoints"):
+        df = Q.QUERIES[name](spark, sf)
+        assert "Window" not in df._jdf.queryExecution().toString()
+    assert not {"comp", "tree", "_cut", "rooted"} & set(graphs.structure(spark, sf, "part_supplier").__dict__)
+    assert Q.QUERIES["tree_edge_count"](spark, sf).first()[0] > 0 and "tree" not in graphs.structure(spark, sf, "customer_part").__dict__
