@@ -11,9 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 
+from graphloom.operators.arrays import least, range_least
 from graphloom.operators.components import connected_components
 from graphloom.operators.graph import running_sums
 from graphloom.operators.structure import MOST_EDGES, Structure
@@ -106,20 +109,41 @@ def subtree_sums(forest: DataFrame, marks: DataFrame, value: str) -> DataFrame:
 STEPS = "qid long, pos long, edge_id long, a long, b long"
 
 
+#: Edges on all paths of a component that one task writes out, in five arrays.
+MOST_STEPS = 8_000_000
+
+
 def _walker(forest: pa.Table, asked: pa.Table) -> pa.Table:
-    up = dict(zip(forest["vertex_id"].to_pylist(), zip(forest["parent"].to_pylist(), forest["parent_edge"].to_pylist(), forest["depth"].to_pylist())))
-    out: list[tuple] = []
-    for q, x, y in zip(asked["qid"].to_pylist(), asked["u"].to_pylist(), asked["v"].to_pylist()):
-        head, tail = [], []
-        while x != y:
-            if up[x][2] >= up[y][2]:
-                head.append((up[x][1], x, up[x][0]))
-                x = up[x][0]
-            else:
-                tail.append((up[y][1], up[y][0], y))
-                y = up[y][0]
-        out += [(q, i, *s) for i, s in enumerate(head + tail[::-1])]
-    return pa.table({n: pa.array([r[i] for r in out], pa.int64()) for i, n in enumerate(("qid", "pos", "edge_id", "a", "b"))})
+    """All queries of a component take a step at a time."""
+    ids, (parent, edge, depth) = _by_id(forest, "parent", "parent_edge", "depth")
+    up = np.searchsorted(ids, parent)
+    x, y = np.searchsorted(ids, asked["u"].to_numpy()), np.searchsorted(ids, asked["v"].to_numpy())
+    i, j = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    found = [[np.empty(0, np.int64)] for _ in range(5)]
+    on = np.flatnonzero(x != y)
+    while len(on):
+        from_u = depth[x[on]] >= depth[y[on]]
+        q = on[from_u]
+        for c, k in zip(found, (q, i[q], edge[x[q]], ids[x[q]], ids[up[x[q]]])):
+            c.append(k)
+        i[q] += 1
+        x[q] = up[x[q]]
+        q = on[~from_u]
+        for c, k in zip(found, (q, -1 - j[q], edge[y[q]], ids[up[y[q]]], ids[y[q]])):  # from the end
+            c.append(k)
+        j[q] += 1
+        y[q] = up[y[q]]
+        on = on[x[on] != y[on]]
+    q, pos, e, a, b = (np.concatenate(c) for c in found)
+    return pa.table({"qid": asked["qid"].to_numpy()[q], "pos": np.where(pos < 0, pos + (i + j)[q], pos), "edge_id": e, "a": a, "b": b})
+
+
+def _by_id(rows: pa.Table, *columns: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Vertices in order, and columns in that order; a root's parent is itself, other nulls are -1."""
+    ids = rows["vertex_id"].to_numpy()
+    order = np.argsort(ids)
+    at = {c: pa.compute.coalesce(rows[c], rows["vertex_id"] if c == "parent" else pa.scalar(-1, pa.int64())).to_numpy()[order] for c in columns}
+    return ids[order], [at[c] for c in columns]
 
 
 def _climbed(forest: DataFrame, asked: DataFrame) -> DataFrame:
@@ -146,13 +170,16 @@ def _climbed(forest: DataFrame, asked: DataFrame) -> DataFrame:
 
 def path_edges(forest: DataFrame, pairs: DataFrame, most_vertices: int = MOST_EDGES) -> DataFrame:
     """``qid, pos, edge_id, a, b``: the edges from u to v in order, each crossed from a to b."""
-    at = forest.select("vertex_id", "component_id")
-    asked = pairs.join(at.toDF("u", "component_id"), "u").join(at.toDF("v", "c2"), "v").where("component_id = c2 and u <> v")
-    asked = materialize(asked.select("component_id", F.col("qid").cast("long").alias("qid"), "u", "v"), "asked")
+    at = forest.select("vertex_id", "component_id", "depth")
+    asked = pairs.join(at.toDF("u", "component_id", "du"), "u").join(at.toDF("v", "c2", "dv"), "v").where("component_id = c2 and u <> v")
+    asked = materialize(asked.select("component_id", F.col("qid").cast("long").alias("qid"), "u", "v", (F.col("du") + F.col("dv")).alias("far")), "asked")
+    steps = asked.groupBy("component_id").agg(F.sum("far").alias("n")).agg(F.max("n")).first()[0] or 0
+    asked = asked.drop("far")
     held = forest.join(asked.select("component_id").distinct(), "component_id", "left_semi")
     most = held.groupBy("component_id").count().agg(F.max("count")).first()[0] or 0
-    if most > most_vertices:
+    if most > most_vertices or steps > MOST_STEPS:
         return materialize(_climbed(forest, asked), "steps")
+    held = held.select("component_id", "vertex_id", "parent", "parent_edge", "depth")
     return materialize(held.groupBy("component_id").cogroup(asked.groupBy("component_id")).applyInArrow(_walker, STEPS), "steps")
 
 
@@ -233,9 +260,116 @@ def find_size(queries: DataFrame, forest: DataFrame, cover: DataFrame) -> DataFr
     return queries.select("qid").join(met, "qid", "left").select("qid", F.coalesce("size", F.lit(0)).alias("size"))
 
 
-def find_first_label(queries: DataFrame, forest: DataFrame, cover: DataFrame, labels: DataFrame) -> DataFrame:
+def _hanging(rows: pa.Table, asked: pa.Table) -> pa.Table:
+    """First labels of a component. What hangs on a path's vertex, inside its part and off the path, are ranges of the part's vertices in the order of the walk."""
+    of_vertex = rows["label_id"].is_null()
+    ids, (parent, tin, tout, depth, covered) = _by_id(rows.filter(of_vertex), "parent", "tin", "tout", "depth", "level")
+    n, up = len(ids), np.searchsorted(ids, parent)
+    first_tin = tin.min()  # a large tree's root is at -1
+    tin, tout = tin - first_tin, tout - first_tin
+    width = int(tout.max()) + 1
+    labels = rows.filter(pa.compute.invert(of_vertex))
+    label_at, label_level, label_id = np.searchsorted(ids, labels["vertex_id"].to_numpy()), labels["level"].to_numpy(), labels["label_id"].to_numpy()
+    qid, level = asked["qid"].to_numpy(), asked["level"].to_numpy()
+    u, v = np.searchsorted(ids, asked["u"].to_numpy()), np.searchsorted(ids, asked["v"].to_numpy())
+    out_q, out_label = [], []
+    for l in np.unique(level):
+        tied = (up != np.arange(n)) & (covered >= l)
+        part = least(n, np.flatnonzero(tied), up[tied])
+        key = part * width + tin
+        order = np.argsort(key)
+        key = key[order]
+        lo = np.searchsorted(key, part * width + tin)
+        hi = np.searchsorted(key, part * width + tout, "right")
+        here = label_level == l
+        label = np.zeros(n, np.int64)
+        label[label_at[here]] = label_id[here]
+        has = np.zeros(n, bool)
+        has[label_at[here]] = True
+        value = np.where(has[order], order, n)
+        before = np.concatenate([[0], np.cumsum(has[order])])
+        q = np.flatnonzero(level == l)
+        x, y, cx, cy = u[q], v[q], np.full(len(q), -1), np.full(len(q), -1)
+        cuts = np.zeros((4, len(q)), np.int64)  # the range of the place found, and the two below it that are on the path
+        holes = np.zeros((2, len(q)), np.int64)
+
+        def below(c):
+            """The range of a child on the path, if it is in its parent's part."""
+            out = (c >= 0) & tied[c]
+            return np.where(out, lo[c], 0), np.where(out, hi[c], 0)
+
+        def kept(k, start, end, one, two=None):
+            """Puts down the places ``start`` to ``end`` without those below for the queries ``k`` that have a label there; says which."""
+            a0, a1 = below(one)
+            b0, b1 = below(two) if two is not None else (np.zeros(len(k), np.int64),) * 2
+            there = before[end] - before[start] - (before[a1] - before[a0]) - (before[b1] - before[b0]) > 0
+            swap = b0 < a0  # empty ones are at 0, so first
+            a0, a1, b0, b1 = np.where(swap, b0, a0), np.where(swap, b1, a1), np.where(swap, a0, b0), np.where(swap, a1, b1)
+            a0, a1 = np.where(a1 > a0, a0, start), np.where(a1 > a0, a1, start)
+            b0, b1 = np.where(b1 > b0, b0, a1), np.where(b1 > b0, b1, a1)
+            w = k[there]
+            cuts[:, w] = start[there], a0[there], a1[there], b0[there]
+            holes[:, w] = b1[there], end[there]
+            return there
+
+        on = np.arange(len(q))
+        while len(on):
+            met = x[on] == y[on]
+            k = on[met]
+            first, last = np.searchsorted(key, part[x[k]] * width), np.searchsorted(key, (part[x[k]] + 1) * width)
+            kept(k, first, last, cx[k], cy[k])
+            on = on[~met]
+            from_u = depth[x[on]] >= depth[y[on]]
+            k = on[from_u]
+            done = kept(k, lo[x[k]], hi[x[k]], cx[k])
+            cx[k] = x[k]
+            x[k] = up[x[k]]
+            w = on[~from_u]  # the last of these on the way up is the first on the path
+            kept(w, lo[y[w]], hi[y[w]], cy[w])
+            cy[w] = y[w]
+            y[w] = up[y[w]]
+            on = np.concatenate([k[~done], w])
+        best = np.minimum(range_least(value, cuts[0], cuts[1], n), np.minimum(range_least(value, cuts[2], cuts[3], n), range_least(value, holes[0], holes[1], n)))
+        got = best < n
+        out_q.append(qid[q[got]])
+        out_label.append(label[best[got]])
+    return pa.table({"qid": np.concatenate(out_q), "label_id": np.concatenate(out_label)})
+
+
+def find_first_label(queries: DataFrame, forest: DataFrame, cover: DataFrame, labels: DataFrame, most_vertices: int = MOST_EDGES) -> DataFrame:
     """``qid, label_id`` for queries ``qid, u, v, level``: of the labels of exactly this level at vertices of that cover level to the path, the one whose meeting place with the path is nearest to u, then the smallest vertex and label; null if none.
 
+    A task walks the paths of a component and looks up what hangs on their vertices, so no query meets a label that is not its
+    answer; queries in components of more than ``most_vertices``, or of very long paths, are compared with the labels of the first part that has any.
+    """
+    at = forest.select("vertex_id", "component_id", "depth")
+    asked = queries.select("qid", "u", "v", "level").join(at.toDF("u", "component_id", "du"), "u").join(at.toDF("v", "c2", "dv"), "v").where("component_id = c2")
+    asked = materialize(asked.select("component_id", F.col("qid").cast("long").alias("qid"), "u", "v", F.col("level").cast("long").alias("level"), (F.col("du") + F.col("dv")).alias("far")), "asked")
+    size = forest.groupBy("component_id").agg(F.count("*").alias("n"))
+    far = asked.groupBy("component_id").agg(F.sum("far").alias("far"))
+    fits = materialize(size.join(far, "component_id").withColumn("fits", (F.col("n") <= most_vertices) & (F.col("far") <= 4 * MOST_STEPS)).select("component_id", "fits"), "fits")
+    some = fits.where("fits").select("component_id")
+    none = F.lit(None).cast("long")
+    rows = forest.select("component_id", "vertex_id", "parent", "tin", "tout", "depth", F.col("parent_edge").alias("edge_id")).join(cover.select("edge_id", F.coalesce("cover_level", F.lit(NONE)).cast("long").alias("level")), "edge_id", "left").select("component_id", "vertex_id", "parent", "tin", "tout", "depth", "level", none.alias("label_id"))
+    one = labels.groupBy("vertex_id", "level").agg(F.min("label_id").cast("long").alias("label_id")).join(at.select("vertex_id", "component_id"), "vertex_id")
+    rows = rows.unionByName(one.select("component_id", "vertex_id", F.col("level").cast("long").alias("level"), "label_id"), allowMissingColumns=True).join(some, "component_id", "left_semi")
+    mine = asked.drop("far").join(some, "component_id", "left_semi")
+    best = rows.groupBy("component_id").cogroup(mine.groupBy("component_id")).applyInArrow(_hanging, "qid long, label_id long")
+    if not fits.where("not fits").isEmpty():
+        others = fits.where("not fits").select("component_id")
+        rest = queries.join(asked.join(others, "component_id", "left_semi").select("qid"), "qid", "left_semi")
+        inside = forest.join(others, "component_id", "left_semi")
+        best = best.unionByName(_first_label_by_pairs(rest, inside, cover.join(inside.select(F.col("parent_edge").alias("edge_id")), "edge_id", "left_semi"), labels).where("label_id is not null"))
+    return queries.select("qid").join(best, "qid", "left").select("qid", "label_id")
+
+
+#: Stands for the cover of no edge, under every level.
+NONE = -(2**31)
+
+
+def _first_label_by_pairs(queries: DataFrame, forest: DataFrame, cover: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same by joins.
+
     The parts that the path meets are told apart by the edges of smaller level on it; a query is
     compared with the labels of the parts that its path meets, and meeting places are the
     deepest of three lowest common ancestors.

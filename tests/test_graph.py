@@ -422,3 +422,19 @@ def test_edges_need_no_structure_and_numbers_no_window(spark):
         assert "Window" not in df._jdf.queryExecution().toString()
     assert not {"comp", "tree", "_cut", "rooted"} & set(graphs.structure(spark, sf, "part_supplier").__dict__)
     assert Q.QUERIES["tree_edge_count"](spark, sf).first()[0] > 0 and "tree" not in graphs.structure(spark, sf, "customer_part").__dict__
+
+
+def test_first_labels_without_a_row_for_each_pair(spark, monkeypatch):
+    """The pass over a component gives what comparing all pairs gives, and writes out neither paths nor pairs."""
+    rng = random.Random(31)
+    n = 30
+    edges = [(100 + i, i, rng.randrange(max(0, i - 4), i), 1) for i in range(1, n) if i != 17]
+    s = derive(Graph.of_edges(spark.createDataFrame(edges, "edge_id long, u long, v long, weight long")))
+    cover = s.graph.edges.withColumn("cover_level", (F.xxhash64("edge_id") % 3).cast("int"))
+    labels = spark.createDataFrame([(i, rng.randrange(n), i % 3, 1) for i in range(14)], "label_id long, vertex_id long, level int, weight long")
+    asked = spark.createDataFrame([(q, rng.randrange(n), rng.randrange(n + 1), q % 3) for q in range(60)], "qid long, u long, v long, level int")
+    rows = lambda df: sorted((r.qid, r.label_id) for r in df.collect())
+    want = rows(P._first_label_by_pairs(asked, s.rooted, cover, labels))
+    assert rows(P.find_first_label(asked, s.rooted, cover, labels, most_vertices=0)) == want
+    monkeypatch.setattr(P, "path_edges", None)
+    assert rows(P.find_first_label(asked, s.rooted, cover, labels)) == want and len({x for _, x in want}) > 4
