@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from graphloom.operators.graph import Graph, with_sequence
 from graphloom.operators.structure import Structure, derive
 from graphloom.sources.scratch import materialize
+from graphloom.sources.session import bound_tasks
 
 _kept: dict[tuple, Structure] = {}
 
@@ -42,6 +43,7 @@ def hierarchy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf: str, name: str) -> Graph:
+    bound_tasks(spark, sum(x[1] for x in _stamp(spark, sf)))
     if name == "hierarchy":
         return Graph.of_edges(materialize(hierarchy(spark, sf), "hierarchy"))
     rows = {"customer_part": customer_part, "part_supplier": part_supplier, "order_part": order_part}[name](spark, sf)
@@ -58,7 +60,9 @@ def _stamp(spark: SparkSession, sf: str) -> tuple:
 
 def structure(spark: SparkSession, sf: str, name: str) -> Structure:
     """Derived tables of a graph; they are written once and read again by later queries of the session on the same files."""
-    key = (spark.sparkContext.applicationId, sf, name, _stamp(spark, sf))
+    stamp = _stamp(spark, sf)
+    bound_tasks(spark, sum(x[1] for x in stamp))
+    key = (spark.sparkContext.applicationId, sf, name, stamp)
     if key not in _kept:
         _kept[key] = derive(graph(spark, sf, name), stored=True)
     return _kept[key]

@@ -438,3 +438,18 @@ def test_first_labels_without_a_row_for_each_pair(spark, monkeypatch):
     assert rows(P.find_first_label(asked, s.rooted, cover, labels, most_vertices=0)) == want
     monkeypatch.setattr(P, "path_edges", None)
     assert rows(P.find_first_label(asked, s.rooted, cover, labels)) == want and len({x for _, x in want}) > 4
+
+
+def test_graph_tables_are_broadcast_by_their_size_in_memory(spark):
+    """A scratch table of 400,000 rows in a small file is no broadcast in a query over graphs, and other queries keep the session as it was."""
+    from graphloom.sources import session
+    from graphloom.sources.scratch import materialize
+
+    t = materialize(spark.range(400_000).select(F.col("id").alias("vertex_id"), (F.col("id") % 25).alias("anc")), "wide")
+    read = lambda: spark.read.schema(t.schema).parquet(t._scratch[0])
+    plan = lambda: spark.range(10).join(read(), F.col("id") == F.col("vertex_id"))._jdf.queryExecution().optimizedPlan().children().apply(1).stats().sizeInBytes()
+    small = int(str(plan()))
+    session.bound_tasks(spark, 10**9)
+    assert int(str(plan())) > 5 * small and int(spark.conf.get(session.FIRST)) == 125
+    session.prepare(spark)
+    assert int(str(plan())) == small and spark.conf.get(session.FIRST, None) is None
